@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe_codec, sharding, token_counts
+from docloom.llm import bpe_codec, decontamination, sharding, token_counts
 
-MODULES = [bpe_codec, sharding, token_counts]
+MODULES = [decontamination, bpe_codec, sharding, token_counts]
 
 
 def queries() -> dict:
