@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe_codec, decontamination, licenses, near_dedup, pii, sharding, substring_dedup, token_counts, topk
+from docloom.llm import bpe_codec, decontamination, language_id, licenses, near_dedup, pii, sharding, substring_dedup, token_counts, topk
 
-MODULES = [licenses, substring_dedup, near_dedup, decontamination, pii, topk, bpe_codec, sharding, token_counts]
+MODULES = [licenses, substring_dedup, near_dedup, decontamination, pii, topk, bpe_codec, language_id, sharding, token_counts]
 
 
 def queries() -> dict:
