@@ -29,6 +29,7 @@ TREES = 12
 DEPTH = 8
 VALUES = 128
 REGION_NODES = 4096
+MAX_BROADCAST_ROWS = 500_000
 LENIENT = 0.5
 #: Multiplier of the rolling hash of a shingle's words.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -147,7 +148,9 @@ def forest_regions(nodes: DataFrame, region_nodes: int = REGION_NODES, trees: in
         if large.isEmpty():
             break
         if d < depth:
-            rows = checkpoint(keyed.join(large.select("region"), "region", "left_semi").select("node", "values", "tree"))
+            few = large.count() <= MAX_BROADCAST_ROWS
+            again = keyed.select("node", "tree", "region").join(F.broadcast(large) if few else large, "region", "left_semi")
+            rows = checkpoint(again.select("node", "tree")).join(nodes, "node")  # values only for the nodes that go deeper
         else:
             done.append(_block_pairs(keyed.select("node", "region").join(large, "region"), region_nodes))
     out = done[0]
