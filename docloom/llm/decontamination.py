@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SEPARATORS, alnum_words, read_table
+from docloom.llm.common import SEPARATORS, alnum_words, fresh, read_table
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 1_000_000
@@ -81,17 +81,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """docs with all its columns, without contaminated documents (mode "documents") or with the hit words and the separators after them cut out of the text (mode "spans")."""
-    hits = hits_of(docs, benchmark, window, id_col, text_col, max_broadcast).where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_key"))
+    doc, key, spans = fresh(docs, "_doc", "_key", "_spans")
+    hits = hits_of(docs, benchmark, window, id_col, text_col, max_broadcast).where(F.size("spans") > 0).select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("spans").alias(spans))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text_col)) == F.col(key))
     if mode == "documents":
         return docs.join(hits, same, "left_anti")
     words = F.split(F.col(text_col), SEPARATORS)
     gaps = F.split(F.col(text_col), SEPARATORS.replace("[", "[^", 1))
     # an empty first word means that the text begins with a gap; a gap before the first word is kept
     lead = F.when(F.get(words, F.lit(0)) == "", 1).otherwise(0)
-    within = lambda i: F.exists("_spans", lambda s: (i - lead >= s["start"]) & (i - lead < s["start"] + s["size"]))
+    within = lambda i: F.exists(spans, lambda s: (i - lead >= s["start"]) & (i - lead < s["start"] + s["size"]))
     text = F.array_join(F.transform(words, lambda w, i: F.when(within(i), "").otherwise(F.concat(w, F.coalesce(F.get(gaps, i + 1 - lead), F.lit(""))))), "")
-    columns = [F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    columns = [F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(text).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
     return docs.join(hits, same, "left").select(*columns)
 
 

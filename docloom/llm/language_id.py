@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, read_table, text_batches
+from docloom.llm.common import checkpoint, fresh, read_table, text_batches
 
 #: Bound on the labelled rows of each language that the text model is fitted on.
 TRAIN_ROWS = 2_000
@@ -105,10 +105,10 @@ def _argmax(scores: Column) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def _smoothed(counts: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str], n: int, smooth: float) -> DataFrame:
-    """keys, prior array<double>: counts(keys..., guess, n) smoothed towards the parent's prior."""
+def _smoothed(counts: DataFrame, keys: list[str], parent: DataFrame | list[float], parent_keys: list[str], n: int, smooth: float) -> DataFrame:
+    """keys, prior array<double>: counts(keys..., guess, n) smoothed towards the parent's prior, a table by parent_keys or the numbers themselves."""
     own = counts.groupBy(*keys).agg(*(F.sum(F.when(F.col("guess") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(n)), F.sum("n").alias("total"))
-    joined = own.join(parent.withColumnRenamed("prior", "_parent"), parent_keys) if parent_keys else own.crossJoin(F.broadcast(parent.withColumnRenamed("prior", "_parent")))
+    joined = own.withColumn("_parent", F.array(*map(F.lit, parent))) if isinstance(parent, list) else own.join(parent.withColumnRenamed("prior", "_parent"), parent_keys)
     prior = F.array(*((F.col(f"c{i}") + smooth * F.get("_parent", F.lit(i))) / (F.col("total") + smooth) for i in range(n)))
     return joined.select(*keys, prior.alias("prior"))
 
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, model: TextModel, declared: Column | None = None,
     totals = [sum(by_declared.get((i, d), 0) for d in tags) for i in range(n)]
     likelihood = {d: [float(np.log((by_declared.get((i, d), 0) + 1) / (totals[i] + len(tags) + 1))) for i in range(n)] for d in tags}
     table = F.create_map(*(x for d, row in likelihood.items() for x in (F.lit(d), F.array(*map(F.lit, row))))) if tags else None
-    whole = docs.sparkSession.createDataFrame([([(t + 1.0) / (sum(totals) + n) for t in totals],)], "prior array<double>")
+    whole = [(t + 1.0) / (sum(totals) + n) for t in totals]
     counts = known.groupBy("suffix", "host", "guess").agg(F.count("*").alias("n"))
     by_suffix = _smoothed(counts, ["suffix"], whole, [], n, SMOOTH)
     by_host = checkpoint(_smoothed(counts, ["suffix", "host"], by_suffix, ["suffix"], n, SMOOTH))
@@ -162,9 +162,10 @@ def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 def keep_accepted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with all its columns, without the rows that `found` (of identify) doesn't accept."""
-    bad = checkpoint(found.where(~F.col("accepted")).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct())
+    doc, key = fresh(docs, "_doc", "_key")
+    bad = checkpoint(found.where(~F.col("accepted")).select(F.col("doc_id").alias(doc), F.col("key").alias(key)).distinct())
     bad = F.broadcast(bad) if bad.count() <= MAX_BROADCAST_ROWS else bad
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_key")), "left_anti")
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text_col)) == F.col(key)), "left_anti")
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import checkpoint, read_table, text_batches
+from docloom.llm.common import checkpoint, fresh, read_table, text_batches
 
 DEFAULT_KEY = b"docloom surrogates"
 MAX_BROADCAST_ROWS = 500_000
@@ -230,17 +230,18 @@ def replace_entities(docs: DataFrame, secret: bytes = DEFAULT_KEY, id_col: str =
     found = checkpoint(_entity_table(docs, id_col, text_col))
     moved = moved_entities(checkpoint(found.select("kind", "canon").distinct()), secret)
     names = docs.columns
-    rows = docs
+    doc, key, more = fresh(docs, "_doc", "_key", "_moved")
     if moved is not None:
-        own = found.join(moved, ["kind", "canon"]).groupBy("doc", "key").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("_moved"))
-        own = checkpoint(own)
+        own = found.join(moved, ["kind", "canon"]).groupBy("doc", "key").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias(more))
+        own = checkpoint(own.withColumnsRenamed({"doc": doc, "key": key}))
         own = F.broadcast(own) if own.count() <= MAX_BROADCAST_ROWS else own
-        rows = docs.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("doc")) & (F.xxhash64(F.col(text_col)) == F.col("key")), "left").select(*(docs[c] for c in names), "_moved")
+        same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text_col)) == F.col(key))
+        rows = docs.join(own, same, "left").select(*(docs[c] for c in names), more)
     else:
-        rows = docs.withColumn("_moved", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        rows = docs.withColumn(more, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
     added = [(c, t) for c, t in ((count_col, T.LongType()), (kinds_col, T.StringType())) if c]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in added)])
-    at = names.index(text_col)
+    at, out_names = names.index(text_col), [*names, *(c for c, _ in added)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches, at):
@@ -257,8 +258,8 @@ def replace_entities(docs: DataFrame, secret: bytes = DEFAULT_KEY, id_col: str =
                 counts.append(len(spans))
                 kinds.append(",".join(sorted({k for _, _, k in spans})))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            more = [pa.array(v, t) for c, v, t in ((count_col, counts, pa.int64()), (kinds_col, kinds, pa.string())) if c]
-            yield pa.RecordBatch.from_arrays([*columns, *more], names=[*names, *(c for c, _ in added)])
+            own_columns = [pa.array(v, t) for c, v, t in ((count_col, counts, pa.int64()), (kinds_col, kinds, pa.string())) if c]
+            yield pa.RecordBatch.from_arrays([*columns, *own_columns], names=out_names)
 
     return rows.mapInArrow(run, schema)
 
