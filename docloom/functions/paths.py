@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -78,3 +80,21 @@ def any_at(schema: T.StructType, path: str, test: Test) -> Column:
     if parts[0] not in schema.names:
         return F.coalesce(test(F.lit(None), T.NullType()), F.lit(False))
     return walk(quoted(parts[0]), schema[parts[0]].dataType, parts[1:])
+
+
+def nested_value(doc: Any, path: str) -> Any:
+    """The value at a path of a plain document; None where there is none."""
+    for part in path.split("."):
+        if isinstance(doc, (list, tuple)) and part.isdigit() and int(part) < len(doc):
+            doc = doc[int(part)]
+        elif isinstance(doc, dict) and part in doc:
+            doc = doc[part]
+        else:
+            return None
+    return doc
+
+
+def safe_name(path: str) -> str:
+    """A path as a name of letters, digits and underscores that begins with a letter."""
+    name = re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9]", "_", path)).strip("_")
+    return name if name[:1].isalpha() else f"p_{name}"

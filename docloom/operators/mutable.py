@@ -375,3 +375,18 @@ class MutableMulti(_Writer):
             if must and n == 0:
                 raise NotFoundError("no element found to delete")
         return n
+
+
+def apply_constraints(store: Store, name: str, schema: Object | Mapping[str, Object]) -> None:
+    """Test a table's rows and keys against a schema (or schemas by type) and note validators and indexes with it; a missing table is an error."""
+    if name not in store.tables():
+        raise KeyError(f"no table {name}")
+    types = {None: schema} if isinstance(schema, Object) else dict(schema)
+    for key, own in types.items():
+        df = store.read(name, [key] if key else None)
+        bad = df.where(~own.valid(df.schema)).limit(1).first()
+        if bad is not None:
+            raise InvalidDocumentError(f"{name}: {bad['_id']} does not conform")
+        check_unique(df, own, key)
+    described = schema.describe() if isinstance(schema, Object) else {k: v.describe() for k, v in schema.items()}
+    store.about(name, indexes=json.loads(json.dumps(wanted(schema), default=str)), validator=json.loads(json.dumps(described, default=str)))
