@@ -49,24 +49,31 @@ def _comparable(kind: T.DataType, value: Any) -> bool:
     return not isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.NullType))
 
 
+def _sure(c: Column, test: Column) -> Column:
+    """A test that is false for a null value; in this form it reaches the scan."""
+    return c.isNotNull() & test
+
+
 def _equals(value: Any) -> Callable[[Column, T.DataType], Column]:
     if value is None:
         return lambda c, k: c.isNull()
     if isinstance(value, re.Pattern):
-        return lambda c, k: c.rlike(value.pattern) if isinstance(k, T.StringType) else F.lit(False)
+        return lambda c, k: _sure(c, c.rlike(value.pattern)) if isinstance(k, T.StringType) else F.lit(False)
     if isinstance(value, Column):
-        return lambda c, k: c == value
+        return lambda c, k: F.coalesce(c == value, F.lit(False))
     if isinstance(value, (list, tuple)) and not value:
-        return lambda c, k: F.size(c) == 0 if isinstance(k, T.ArrayType) else F.lit(False)
-    return lambda c, k: c == constant(value) if _comparable(k, value) else F.lit(False)
+        return lambda c, k: _sure(c, F.size(c) == 0) if isinstance(k, T.ArrayType) else F.lit(False)
+    return lambda c, k: _sure(c, c == constant(value)) if _comparable(k, value) else F.lit(False)
 
 
 def _ordered(value: Any, test: Callable[[Column, Column], Column]) -> Callable[[Column, T.DataType], Column]:
-    return lambda c, k: test(c, value if isinstance(value, Column) else constant(value)) if isinstance(value, Column) or _comparable(k, value) else F.lit(False)
+    if isinstance(value, Column):
+        return lambda c, k: F.coalesce(test(c, value), F.lit(False))
+    return lambda c, k: _sure(c, test(c, constant(value))) if _comparable(k, value) else F.lit(False)
 
 
 def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
 def _all(tests: list[Column]) -> Column:
@@ -76,7 +83,7 @@ def _all(tests: list[Column]) -> Column:
 def _in(schema: T.StructType, path: str, values: Any) -> Column:
     plain = [v for v in values if v is not None and not isinstance(v, (re.Pattern, Column, dict, list, tuple))]
     rest = [v for v in values if v is None or isinstance(v, (re.Pattern, Column, dict, list, tuple))]
-    same = lambda c, k: c.isin([v for v in plain if _comparable(k, v)]) if any(_comparable(k, v) for v in plain) else F.lit(False)
+    same = lambda c, k: _sure(c, c.isin([v for v in plain if _comparable(k, v)])) if any(_comparable(k, v) for v in plain) else F.lit(False)
     return _any([*([any_at(schema, path, same)] if plain else []), *(any_at(schema, path, _equals(v)) for v in rest)])
 
 
@@ -104,7 +111,7 @@ def _kind(schema: T.StructType, path: str) -> T.DataType:
 
 def _on(schema: T.StructType, path: str, spec: dict, column: Column, kind: T.DataType) -> Column:
     """Operators on a value at hand."""
-    return _all([F.coalesce(_OPERATORS[op](value)(column, kind), F.lit(False)) for op, value in spec.items()])
+    return _all([_OPERATORS[op](value)(column, kind) for op, value in spec.items()])
 
 
 def _nested(kind: T.DataType, spec: dict, column: Column) -> Column:
@@ -119,13 +126,13 @@ def _nested(kind: T.DataType, spec: dict, column: Column) -> Column:
 
 _OPERATORS: dict[str, Callable[[Any], Callable[[Column, T.DataType], Column]]] = {
     "$eq": _equals,
-    "$ne": lambda v: lambda c, k: ~F.coalesce(_equals(v)(c, k), F.lit(False)),
+    "$ne": lambda v: lambda c, k: ~_equals(v)(c, k),
     "$gt": lambda v: _ordered(v, lambda a, b: a > b),
     "$gte": lambda v: _ordered(v, lambda a, b: a >= b),
     "$lt": lambda v: _ordered(v, lambda a, b: a < b),
     "$lte": lambda v: _ordered(v, lambda a, b: a <= b),
-    "$in": lambda v: lambda c, k: _any([F.coalesce(_equals(x)(c, k), F.lit(False)) for x in v]),
-    "$nin": lambda v: lambda c, k: ~_any([F.coalesce(_equals(x)(c, k), F.lit(False)) for x in v]),
+    "$in": lambda v: lambda c, k: _any([_equals(x)(c, k) for x in v]),
+    "$nin": lambda v: lambda c, k: ~_any([_equals(x)(c, k) for x in v]),
 }
 
 
@@ -147,15 +154,14 @@ def _field(schema: T.StructType, path: str, spec: Any, scope: Scope) -> Column:
         elif op == "$nin":
             tests.append(~_in(schema, path, value))
         elif op == "$exists":
-            there = F.array_contains(F.col(PRESENT), path) if PRESENT in schema.names else value_at(schema, path).isNotNull()
-            there = F.coalesce(there, F.lit(False))
+            there = F.coalesce(F.array_contains(F.col(PRESENT), path), F.lit(False)) if PRESENT in schema.names else value_at(schema, path).isNotNull()
             tests.append(there if value else ~there)
         elif op == "$not":
             tests.append(~_field(schema, path, value, scope))
         elif op == "$regex":
             flags = spec.get("$options", "")
             pattern = (f"(?{flags})" if flags else "") + (value.pattern if isinstance(value, re.Pattern) else value)
-            tests.append(any_at(schema, path, lambda c, k, p=pattern: c.rlike(p) if isinstance(k, T.StringType) else F.lit(False)))
+            tests.append(any_at(schema, path, lambda c, k, p=pattern: _sure(c, c.rlike(p)) if isinstance(k, T.StringType) else F.lit(False)))
         elif op == "$options":
             continue
         elif op == "$all":
@@ -165,7 +171,7 @@ def _field(schema: T.StructType, path: str, spec: Any, scope: Scope) -> Column:
         elif op == "$elemMatch":
             tests.append(_element(schema, path, value))
         elif op == "$mod":
-            tests.append(any_at(schema, path, lambda c, k, v=value: F.try_mod(c, F.lit(v[0])) == v[1] if isinstance(k, T.NumericType) else F.lit(False)))
+            tests.append(any_at(schema, path, lambda c, k, v=value: F.coalesce(F.try_mod(c, F.lit(v[0])) == v[1], F.lit(False)) if isinstance(k, T.NumericType) else F.lit(False)))
         elif op == "$type":
             names = value if isinstance(value, list) else [value]
             tests.append(any_at(schema, path, lambda c, k, ns=names: _any([c.isNull() if n == "null" else c.isNotNull() & F.lit(isinstance(k, TYPES[n])) for n in ns])))

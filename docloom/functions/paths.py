@@ -57,15 +57,14 @@ def value_at(schema: T.StructType, path: str) -> Column:
 
 
 def any_at(schema: T.StructType, path: str, test: Test) -> Column:
-    """Whether test holds for the value at a path, or for an element of an array on the way or at its end; never null."""
+    """Whether test holds for the value at a path, or for an element of an array on the way or at its end. As test is never null, neither is this."""
     parts = path.split(".")
 
     def walk(column: Column, kind: T.DataType, rest: list[str]) -> Column:
         if not rest:
-            own = F.coalesce(test(column, kind), F.lit(False))
             if isinstance(kind, T.ArrayType):
-                return own | F.coalesce(F.exists(column, lambda x: F.coalesce(test(x, kind.elementType), F.lit(False))), F.lit(False))
-            return own
+                return test(column, kind) | (column.isNotNull() & F.exists(column, lambda x: test(x, kind.elementType)))
+            return test(column, kind)
         head, tail = rest[0], rest[1:]
         if isinstance(kind, T.StructType) and head in kind.names:
             return walk(column.getField(head), kind[head].dataType, tail)
@@ -74,11 +73,11 @@ def any_at(schema: T.StructType, path: str, test: Test) -> Column:
         if isinstance(kind, T.ArrayType) and head.isdigit():
             return walk(F.get(column, int(head)), kind.elementType, tail)
         if isinstance(kind, T.ArrayType):
-            return F.coalesce(F.exists(column, lambda x: walk(x, kind.elementType, rest)), F.lit(False))
-        return F.coalesce(test(F.lit(None), T.NullType()), F.lit(False))
+            return column.isNotNull() & F.exists(column, lambda x: walk(x, kind.elementType, rest))
+        return test(F.lit(None), T.NullType())
 
     if parts[0] not in schema.names:
-        return F.coalesce(test(F.lit(None), T.NullType()), F.lit(False))
+        return test(F.lit(None), T.NullType())
     return walk(quoted(parts[0]), schema[parts[0]].dataType, parts[1:])
 
 

@@ -48,17 +48,18 @@ def sort_keys(sort: Any, natural: bool = False) -> list[tuple[str, int]]:
 def _beyond(column: Column, value: Any, up: bool) -> Column:
     if value is None:
         return column.isNotNull() if up else F.lit(False)
-    return column > F.lit(value) if up else (column < F.lit(value)) | column.isNull()
+    return column.isNotNull() & (column > F.lit(value)) if up else (column < F.lit(value)) | column.isNull()
 
 
 def cursor(df: DataFrame, keys: list[tuple[str, int]], anchor: Row, forward: bool) -> Column:
     """The rows strictly after (or before) the anchor in the order of keys."""
-    tests, same = [], F.lit(True)
+    tests, same = [], None
     for i, (path, way) in enumerate(keys):
         column = value_at(df.schema, path)
-        tests.append(same & _beyond(column, anchor[i], (way == 1) == forward))
-        same = same & column.eqNullSafe(F.lit(anchor[i]))
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+        further, equal = _beyond(column, anchor[i], (way == 1) == forward), column.eqNullSafe(F.lit(anchor[i]))
+        tests.append(further if same is None else same & further)
+        same = equal if same is None else same & equal
+    return reduce(lambda a, b: a | b, tests)
 
 
 def order_by(df: DataFrame, keys: list[tuple[str, int]], forward: bool = True) -> list[Column]:

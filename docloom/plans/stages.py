@@ -1,7 +1,7 @@
 """Aggregation stages: a list of them is folded over a DataFrame.
 
-A peephole pass over the list comes first: a lookup that is unwound at once is an inner join, and one that only
-asks whether there was a match is a semi or anti join, so that no array of matches is built.
+A peephole pass over the list comes first: a lookup that is unwound at once is an inner join, one that only
+asks whether there was a match is a semi or anti join, and one whose matches are only counted counts them, so that no array of matches is built.
 """
 
 from __future__ import annotations
@@ -77,7 +77,8 @@ class Lookup(Stage):
     of_type: str | None = None
     let: Mapping[str, Any] = field(default_factory=dict)
     pipeline: tuple[Stage, ...] = ()
-    mode: str = "array"  # or inner, outer, semi, anti: set by the peephole pass
+    mode: str = "array"  # or inner, outer, semi, anti, count: set by the peephole pass
+    null_keys: bool = False  # whether null keys match each other; else they match nothing, and never become one hot key
 
     def _foreign(self, context: Context) -> DataFrame:
         df = context.own if self.source is None else context.tables[self.source]
@@ -98,6 +99,9 @@ class Lookup(Stage):
         hidden = ("_key", "_rank")
         return df.select("_key", *(["_rank"] if "_rank" in df.columns else []), F.struct(*(quoted(c) for c in df.columns if c not in hidden)).alias("_doc"))
 
+    def _same(self, a: str, b: str) -> Column:
+        return F.col(a).eqNullSafe(F.col(b)) if self.null_keys else F.col(a) == F.col(b)
+
     def apply(self, df: DataFrame, context: Context) -> DataFrame:
         if self.let or self.foreign is None:
             return self._correlated(df, context)
@@ -106,13 +110,16 @@ class Lookup(Stage):
         kind = df.select(local.alias("v")).schema["v"].dataType
         if isinstance(kind, T.ArrayType):
             return self._by_elements(df, right, local, names)
-        same = F.col("_local").eqNullSafe(F.col("_key"))
+        same = self._same("_local", "_key")
         left = df.withColumn("_local", local)
         if self.mode in ("semi", "anti"):
-            return left.join(right.select("_key").distinct() if self.mode == "semi" else right, same, f"left_{self.mode}").drop("_local")
+            return left.join(right.select("_key"), same, f"left_{self.mode}").drop("_local")
         if self.mode in ("inner", "outer"):
             joined = left.join(right, same, "inner" if self.mode == "inner" else "left")
             return joined.select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
+        if self.mode == "count":
+            grouped = right.groupBy("_key").agg(F.count(F.lit(1)).cast("int").alias("_docs"))
+            return left.join(grouped, same, "left").select(*(quoted(c) for c in names), F.coalesce("_docs", F.lit(0)).alias(self.to))
         grouped = right.groupBy("_key").agg(_collected(right).alias("_docs"))
         joined = left.join(grouped, same, "left")
         return joined.select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), right).alias(self.to))
@@ -121,13 +128,14 @@ class Lookup(Stage):
         """A local array matches by any element; each foreign row once."""
         rows = df.withColumn("_row", F.monotonically_increasing_id())
         keys = rows.select("_row", F.explode(F.array_distinct(local)).alias("_local"))
-        pairs = keys.join(right, F.col("_local").eqNullSafe(F.col("_key")))
+        pairs = keys.join(right, self._same("_local", "_key"))
         docs = pairs.groupBy("_row").agg(_collected(right).alias("_docs"))
         if self.mode in ("semi", "anti"):
-            return rows.join(pairs.select("_row").distinct(), "_row", f"left_{self.mode}").select(*(quoted(c) for c in df.columns))
+            return rows.join(pairs.select("_row"), "_row", f"left_{self.mode}").select(*(quoted(c) for c in df.columns))
         if self.mode in ("inner", "outer"):
             return rows.join(pairs, "_row", "inner" if self.mode == "inner" else "left").select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
-        return rows.join(docs, "_row", "left").select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), right).alias(self.to))
+        found = rows.join(docs, "_row", "left").select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), right).alias(self.to))
+        return found.withColumn(self.to, F.size(self.to)) if self.mode == "count" else found
 
     def _correlated(self, df: DataFrame, context: Context) -> DataFrame:
         """Variables of the local row in a sub-pipeline: its leading matches are the join's condition."""
@@ -147,7 +155,7 @@ class Lookup(Stage):
         inner = _Renamed(right.schema)
         condition = reduce(lambda a, b: a & b, [_match_renamed(s.spec, inner, variables) for s in leading], F.lit(True))
         if self.foreign is not None:
-            condition = F.col("_local").eqNullSafe(F.col("_f__key")) & condition
+            condition = self._same("_local", "_f__key") & condition
         hidden = {"_key"} if self.foreign is not None else set()
         pairs = left.select("_row", "_let", *(["_local"] if self.foreign is not None else [])).join(renamed, condition)
         pairs = pairs.select(F.col("_row").alias("_key"), *(F.col(f"`_f_{c}`").alias(c) for c in right.columns if c not in hidden))
@@ -161,9 +169,12 @@ class Lookup(Stage):
         docs = pairs.select(F.col("_key").alias("_of"), *(["_rank"] if "_rank" in pairs.columns else []), F.struct(*(quoted(c) for c in pairs.columns if c not in ("_key", "_rank"))).alias("_doc"))
         names = [c for c in df.columns if c != self.to]
         if self.mode in ("semi", "anti"):
-            return left.join(docs.select("_of").distinct(), F.col("_row") == F.col("_of"), f"left_{self.mode}").select(*(quoted(c) for c in df.columns))
+            return left.join(docs.select("_of"), F.col("_row") == F.col("_of"), f"left_{self.mode}").select(*(quoted(c) for c in df.columns))
         if self.mode in ("inner", "outer"):
             return left.join(docs, F.col("_row") == F.col("_of"), "inner" if self.mode == "inner" else "left").select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
+        if self.mode == "count":
+            grouped = docs.groupBy("_of").agg(F.count(F.lit(1)).cast("int").alias("_docs"))
+            return left.join(grouped, F.col("_row") == F.col("_of"), "left").select(*(quoted(c) for c in names), F.coalesce("_docs", F.lit(0)).alias(self.to))
         grouped = docs.groupBy("_of").agg(_collected(docs).alias("_docs"))
         return left.join(grouped, F.col("_row") == F.col("_of"), "left").select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), docs).alias(self.to))
 
@@ -379,6 +390,21 @@ def _asks_for_match(stage: Stage, to: str) -> str | None:
     return "anti" if key == f"{to}.0" and value == {"$exists": False} else None
 
 
+def _counts_only(stage: Stage | None, to: str) -> Stage | None:
+    """The projection with numbers in place of the array's size, if it reads nothing else of the array `to`."""
+    if not isinstance(stage, Project) or all(v in (0, False) for v in stage.spec.values()):
+        return None
+
+    def counted(value: Any) -> Any:
+        if value == {"$size": f"${to}"}:
+            return f"${to}"
+        return {k: counted(v) for k, v in value.items()} if isinstance(value, dict) else [counted(v) for v in value] if isinstance(value, list) else value
+
+    marked = json.dumps(stage.spec, default=str)
+    sizes = marked.count(json.dumps({"$size": f"${to}"}))
+    return Project(counted(stage.spec)) if sizes and marked.count(f"${to}") == sizes and to not in stage.spec else None
+
+
 def optimized(stages: list[Stage]) -> list[Stage]:
     out, i = [], 0
     while i < len(stages):
@@ -393,6 +419,10 @@ def optimized(stages: list[Stage]) -> list[Stage]:
                 out.append(replace(stage, mode=asked))
                 i += 2
                 continue
+            if numbers := _counts_only(follower, stage.to):
+                out += [replace(stage, mode="count"), numbers]
+                i += 2
+                continue
         out.append(stage)
         i += 1
     return out

@@ -67,13 +67,13 @@ class Node:
         return replace(self, index=Index(**options))
 
     def valid_value(self, c: Column) -> Column:
-        parts = [self.test(c)]
+        parts = [self.test(c)]  # never null where c isn't
         for name, value in combined(self.checks).items():
             if name in _CHECKS:
                 parts.append(_CHECKS[name](c, value, isinstance(self.spark(), T.ArrayType)))
             elif callable(value):
-                parts.append(value(c))
-        return F.coalesce(reduce(lambda a, b: a & b, parts), F.lit(False))
+                parts.append(F.coalesce(value(c), F.lit(False)))
+        return reduce(lambda a, b: a & b, parts)
 
 
 def combined(checks: tuple[tuple[str, Any], ...]) -> dict[str, Any]:
@@ -297,7 +297,7 @@ class AllOf(Node):
 def _field_valid(node: Node, c: Column) -> Column:
     if isinstance(node, Scalar) and node.name == "null":
         return c.isNull()
-    good = F.coalesce(node.valid_value(c), F.lit(False))
+    good = node.valid_value(c)
     return c.isNotNull() & good if node.required() and not (isinstance(node, Wrapped)) else c.isNull() | good
 
 
