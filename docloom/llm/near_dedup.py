@@ -89,9 +89,9 @@ def labels_of(linked: np.ndarray) -> np.ndarray:
     return label
 
 
-def _similar(values: np.ndarray, share: float) -> np.ndarray:
-    """Which rows agree in so large a share of their values, as a matrix."""
-    n, low = len(values), np.ascontiguousarray(values.astype(np.uint32).astype(np.uint8))
+def _similar(low: np.ndarray, share: float) -> np.ndarray:
+    """Which rows agree in so large a share of their bytes, as a matrix."""
+    n = len(low)
     out = np.zeros((n, n), bool)
     for i in range(0, n, 64):
         same = (low[i : i + 64, None, :] == low[None]).sum(2, dtype=np.int32)
@@ -124,16 +124,17 @@ def linked_exactly(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), values (MinHash) for each row of docs."""
+    """doc_id, n_shingles, digest (of the set), values (MinHash, for the orders), sketch (the low byte of all values) for each row of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            values = np.concatenate([signature(s) for s in sets])
-            ends = np.arange(0, VALUES * len(sets) + 1, VALUES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], names=["doc_id", "n_shingles", "digest", "values"])
+            signatures = np.stack([signature(s) for s in sets])
+            values, sketches = np.ascontiguousarray(signatures[:, : TREES * DEPTH]).ravel(), signatures.view(np.uint32).astype(np.uint8)
+            ends = np.arange(0, len(values) + 1, TREES * DEPTH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "n_shingles", "digest", "values", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, values array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, values array<int>, sketch binary")
 
 
 def forest_regions(nodes: DataFrame, region_nodes: int = REGION_NODES, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -148,9 +149,12 @@ def forest_regions(nodes: DataFrame, region_nodes: int = REGION_NODES, trees: in
         if large.isEmpty():
             break
         if d < depth:
-            few = large.count() <= MAX_BROADCAST_ROWS
-            again = keyed.select("node", "tree", "region").join(F.broadcast(large) if few else large, "region", "left_semi")
-            rows = checkpoint(again.select("node", "tree")).join(nodes, "node")  # values only for the nodes that go deeper
+            few = F.broadcast(large) if large.count() <= MAX_BROADCAST_ROWS else large
+            if d == 1:  # values only for the nodes that go deeper
+                again = checkpoint(keyed.select("node", "tree", "region").join(few, "region", "left_semi").select("node", "tree"))
+                rows = checkpoint(again.join(nodes.select("node", "values"), "node"))
+            else:
+                rows = checkpoint(keyed.join(few, "region", "left_semi").select("node", "values", "tree"))
         else:
             done.append(_block_pairs(keyed.select("node", "region").join(large, "region"), region_nodes))
     out = done[0]
@@ -175,13 +179,13 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def candidates(regions: DataFrame, nodes: DataFrame, lenient: float = LENIENT) -> DataFrame:
-    """node, region: what hangs together by sketches in each region; equal groups of different trees are one."""
+    """node, region: what hangs together by the nodes' sketches in each region; equal groups of different trees are one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, region = [], []
         for _, rows in _groups(batches):
             rows.sort(key=lambda r: r[1])
-            label = labels_of(_similar(np.stack([r[2] for r in rows]), lenient))
+            label = labels_of(_similar(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), lenient))
             ids = np.array([r[1] for r in rows], np.int64)
             for i in np.flatnonzero(np.bincount(label, minlength=len(label)) > 1):
                 own = ids[label == i]
@@ -193,7 +197,7 @@ def candidates(regions: DataFrame, nodes: DataFrame, lenient: float = LENIENT) -
         if node:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(region))], names=["node", "region"])
 
-    rows = regions.join(nodes, "node").select("region", "node", "values")
+    rows = regions.join(nodes.select("node", "sketch"), "node").select("region", "node", "sketch")
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "node long, region long").distinct()
 
 
@@ -227,7 +231,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, region_nodes: int =
     base = checkpoint(fingerprints(docs, id_col, text_col))
     filled = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     firsts = checkpoint(filled.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = filled.select(F.col("doc_id").alias("node"), "values").join(firsts.select("node"), "node", "left_semi")
+    nodes = checkpoint(filled.select(F.col("doc_id").alias("node"), "values", "sketch").join(firsts.select("node"), "node", "left_semi"))
     groups = checkpoint(candidates(forest_regions(nodes, region_nodes), nodes))
     links = confirmed_links(groups, docs, percent, id_col, text_col)
     components = connected_components(links)
