@@ -1,12 +1,12 @@
 """MinHash near-dedup with an LSH forest.
 
 A document's set holds its distinct shingles of five words. Documents with equal sets are one node. Each
-of TREES sorted orders arranges the nodes by a sequence of DEPTH MinHash values; nodes with a common
-prefix are a region. The depth adapts by region: one value where at most REGION_NODES share it, one more
-where more do. In a region, a sketch of all values tells which nodes may be linked (LENIENT, far below the
-threshold), and what hangs together this way is compared by full sets. Two sets of similarity s lie in no
-common region of depth d with probability (1 - s^d)^TREES: 6e-8 at s = 0.75 and depth 1. A region that
-is too large at full depth is compared in blocks, each pair of blocks in a task of its own.
+of TREES sorted orders arranges the nodes by a MinHash value of its own; nodes with a common value are a
+region. A region of more than REGION_NODES isn't cut by longer prefixes, which would lose pairs: it is
+compared in blocks, each pair of blocks in a group of its own. In a region, a sketch of all values tells
+which nodes may be linked (LENIENT, far below the threshold), and what hangs together this way is compared
+by full sets. Two sets of similarity s lie in no common region with probability (1 - s)^TREES, whatever the
+size of the regions: 6e-8 at s = 0.75. A region of n nodes beyond REGION_NODES costs in proportion to n².
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from docloom.llm.components import connected_components
 SHINGLE = 5
 PERCENT = 75
 TREES = 12
-DEPTH = 8
 VALUES = 128
 REGION_NODES = 4096
 MAX_BROADCAST_ROWS = 500_000
@@ -124,50 +123,37 @@ def linked_exactly(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), values (MinHash, for the orders), sketch (the low byte of all values) for each row of docs."""
+    """doc_id, n_shingles, digest (of the set), values (MinHash, one for each order), sketch (the low byte of all values) for each row of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             signatures = np.stack([signature(s) for s in sets])
-            values, sketches = np.ascontiguousarray(signatures[:, : TREES * DEPTH]).ravel(), signatures.view(np.uint32).astype(np.uint8)
-            ends = np.arange(0, len(values) + 1, TREES * DEPTH)
+            values, sketches = np.ascontiguousarray(signatures[:, :TREES]).ravel(), signatures.view(np.uint32).astype(np.uint8)
+            ends = np.arange(0, len(values) + 1, TREES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "n_shingles", "digest", "values", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, values array<int>, sketch binary")
 
 
-def forest_regions(nodes: DataFrame, region_nodes: int = REGION_NODES, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
-    """node, region: the regions of two nodes or more of all trees; nodes(node, values)."""
-    rows = nodes.select("node", "values", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    done: list[DataFrame] = []
-    for d in range(1, depth + 1):
-        keyed = rows.select("node", "tree", "values", F.xxhash64("tree", F.slice("values", F.col("tree") * depth + 1, d)).alias("region"))
-        sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-        done.append(keyed.select("node", "region").join(sizes.where(F.col("n") <= region_nodes).select("region"), "region"))
-        large = checkpoint(sizes.where(F.col("n") > region_nodes))
-        if large.isEmpty():
-            break
-        if d < depth:
-            few = F.broadcast(large) if large.count() <= MAX_BROADCAST_ROWS else large
-            if d == 1:  # values only for the nodes that go deeper
-                again = checkpoint(keyed.select("node", "tree", "region").join(few, "region", "left_semi").select("node", "tree"))
-                rows = checkpoint(again.join(nodes.select("node", "values"), "node"))
-            else:
-                rows = checkpoint(keyed.join(few, "region", "left_semi").select("node", "values", "tree"))
-        else:
-            done.append(_block_pairs(keyed.select("node", "region").join(large, "region"), region_nodes))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+def forest_regions(nodes: DataFrame, region_nodes: int = REGION_NODES) -> DataFrame:
+    """node, region: the regions of two nodes or more of all trees, the large ones as pairs of blocks; nodes(node, values)."""
+    rows = nodes.select("node", F.posexplode("values").alias("tree", "value"))
+    keyed = rows.select("node", F.xxhash64("tree", "value").alias("region"))
+    sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    out = keyed.join(sizes.where(F.col("n") <= region_nodes).select("region"), "region").select("node", "region")
+    large = checkpoint(sizes.where(F.col("n") > region_nodes))
+    if large.isEmpty():
+        return out
+    few = F.broadcast(large) if large.count() <= MAX_BROADCAST_ROWS else large
+    return out.unionByName(_block_pairs(keyed.join(few, "region"), region_nodes))
 
 
 def _block_pairs(members: DataFrame, region_nodes: int) -> DataFrame:
-    """Regions of more nodes, cut into blocks of about half of region_nodes; each pair of blocks is a region."""
+    """Regions of more nodes, cut into blocks of about half of region_nodes; each pair of different blocks is a region."""
     blocks = F.ceil(F.col("n") / (region_nodes // 2)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = members.select("node", "region", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    spread = members.select("node", "region", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("own <> other")
     return spread.select("node", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"))
 
 

@@ -215,6 +215,19 @@ def test_near_dedup_dense_region(spark):
     assert rows(near_duplicates(df, region_nodes=8), "doc_id", "n_shingles", "component_id", "kept") == linked(given)
 
 
+def test_large_regions_lose_no_pair(spark):
+    """Copies just above the threshold from one text, and below it from each other, in regions far above their bound."""
+    words = [f"b{i}" for i in range(400)]
+    given = [(0, " ".join(words))]
+    for i in range(1, 61):
+        own = list(words)
+        for j in range(11):
+            own[5 + 35 * j + i % 30] = f"x{i}_{j}"
+        given.append((i, " ".join(own)))
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(df, region_nodes=2).collect()} == {0}
+
+
 def test_exact_links_in_slices():
     import numpy as np
 
