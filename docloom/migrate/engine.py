@@ -451,14 +451,58 @@ def _unlike(a: State, b: State) -> list[str]:
     return out
 
 
+def _next_state(spark: SparkSession, state: State, schemas: Schemas, models: Iterable[str], n: int, seed: int) -> tuple[State, list[str]]:
+    """What the next migration meets: every second row of each table and n mock rows (of each type) more, and the tables that can't have any.
+
+    Each of `models` without an instance gets one of mock rows.
+    """
+    warnings: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:  # as values, so that chains stay cheap and every read sees the same rows
+        return spark.createDataFrame(df.collect()[::2], df.schema)
+
+    def more(part: str, name: str, own: Schemas, instances: Mapping[str, str] | None = None) -> None:
+        nonlocal state
+        old = getattr(state, part).get(name)
+        old = None if old is None else kept(old)
+        try:
+            rows = getattr(mock_state(spark, own, n, seed, instances), part)[name]
+            rows = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
+        except Exception as e:  # a pattern, say, that no mock value meets
+            warnings.append(f"{name} gets no mock rows: {type(e).__name__}: {e}")
+            rows = old
+        if rows is not None:
+            state = state.put(part, name, rows)
+            if part == "instances" and name not in state.model_of:
+                state = state.put("model_of", name, instances[name])
+
+    wanted = set(models)
+    for name, model in list(state.model_of.items()):
+        if name == f"mock:{model}" and model not in wanted:
+            state = state.drop("instances", name).drop("model_of", name)
+    for name, schema in schemas.collections.items():
+        more("collections", name, Schemas(collections={name: schema}))
+    for name, types in schemas.multi.items():
+        more("multi", name, Schemas(multi={name: types}))
+    own = {**state.model_of, **{f"mock:{m}": m for m in schemas.models if m in wanted and m not in state.model_of.values()}}
+    for name, model in own.items():
+        if model in schemas.models:
+            more("instances", name, Schemas(models={model: schemas.models[model]}), {name: model})
+    return state, warnings
+
+
 def simulate_all(spark: SparkSession, migrations: list[Migration], power: str = "quick") -> list[dict[str, Any]]:
-    """Each migration on the state that those before it have left."""
-    out, state = [], State()
-    for m in migrations:
+    """Each migration on half of the rows that those before it have left and POWER[power] mock rows of each declared table or type."""
+    out: list[dict[str, Any]] = []
+    state = None if migrations and migrations[0].parent else State()
+    for i, m in enumerate(migrations):
+        noted: list[str] = []
+        if out:
+            state, noted = _next_state(spark, out[-1]["state"], migrations[i - 1].schemas, m.schemas.models, POWER[power], i)
         out.append(simulate(spark, m, power, state))
+        out[-1]["warnings"][:0] = noted
         if out[-1]["errors"]:
             break
-        state = out[-1]["state"]
     return out
 
 

@@ -381,6 +381,28 @@ def test_simulation(spark):
     assert rows(spark.createDataFrame([("a", 2.0)], "name string, price double")).first().price == 4
 
 
+def test_simulation_of_a_chain_meets_mock_rows(spark):
+    """Each migration after the first meets rows that no seed has, also in tables that were empty."""
+
+    def after(schemas, up, down=lambda d: d):
+        return Migration("2024_01_02_0000_ffffffffff@next", "next", M1, schemas, lambda b: (b.collection("products").transform(up, down), schemas is TWO and b.instances("posts").rename_type("article", "story")))
+
+    bad = after(TWO, lambda d: d.withColumn("description", F.when(F.col("price") <= 1, "cheap")), lambda d: d.drop("description"))
+    assert [bool(r["errors"]) for r in engine.simulate_all(spark, [M1, bad])] == [False, True]
+    lossy = after(ONE, lambda d: d.withColumn("price", F.lit(1.0)))
+    for power in ("quick", "normal"):
+        done = engine.simulate_all(spark, [M1, lossy], power)[-1]
+        assert done["errors"] == [] and done["warnings"] == ["products differs after the rollback"]
+        products = done["state"].collections["products"]
+        assert products.count() == 1 + engine.POWER[power] and products.where("_id = 'p1'").count() == 1
+        assert done["state"].instances["main"].count() == 1 + engine.POWER[power]
+    empty = Migration("2024_01_01_0000_gggggggggg@empty", "empty", None, ONE, lambda b: b.create_collection("products"))
+    fails = Migration("2024_01_02_0000_hhhhhhhhhh@fails", "fails", empty, ONE, lambda b: b.collection("products").transform(lambda d: d.withColumn("name", F.lit(None).cast("string")), lambda d: d))
+    assert engine.simulate_all(spark, [empty, fails])[-1]["errors"] == ["collection products: 10 documents do not conform"]
+    models = Migration("2024_01_02_0000_iiiiiiiiii@models", "models", empty, ONE, lambda b: b.instances("posts").type("article").transform(lambda d: d.withColumn("title", F.lit(None).cast("string")), lambda d: d))
+    assert engine.simulate_all(spark, [empty, models])[-1]["errors"] == ["store mock:posts: 10 documents do not conform"]
+
+
 def test_migrating_a_store(store):
     engine.migrate(store, M1)
     engine.migrate(store, M2)
