@@ -2,7 +2,7 @@
 
 Rows fall into the cells of pivots. A cell's summary is its pivot, its count and its radius r, so a
 query q meets scores in [q.p - |q| r, q.p + |q| r] there. The counts of the cells with the best lower ends
-give each query a score that k rows surely reach; the query is sent to just those cells whose upper end
+give each query a score that k rows, beside those of its own vec_id, surely reach; the query is sent to just those cells whose upper end
 reaches it. Cells of many rows are dealt out in chunks, each solved locally, and the best k of all chunks remain.
 """
 
@@ -86,7 +86,7 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, cell_rows: int = CELL
             slack = 1e-9 * (np.abs(middle) + reach) + 1e-6
             low, high = middle - reach - slack, middle + reach + slack
             order = np.argsort(-low, axis=1)
-            enough = np.cumsum(count[order], axis=1) >= k + 1  # one of them may be the query's own row
+            enough = np.cumsum(count[order], axis=1) >= k + batch.column(2).to_numpy()[:, None]  # some may be rows of the query's own vec_id
             at = np.where(enough.any(1), enough.argmax(1), -1)
             sure = np.where(at >= 0, np.take_along_axis(low, order, 1)[np.arange(len(q)), at], -np.inf)
             needed = [number[row].tolist() for row in high >= sure[:, None]]
@@ -96,7 +96,10 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 5, cell_rows: int = CELL
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts = F.create_map(*(F.lit(x) for c in cells for x in (c, chunks[c])))
     salted = placed.select(F.struct("cell", F.pmod(F.xxhash64("vec_id"), F.element_at(parts, F.col("cell")).cast("long")).alias("chunk")).alias("place"), "vec_id", "vector")
-    sent = queries.select("vec_id", "vector").distinct().mapInArrow(send, "query_id long, vector array<double>, cells array<long>")
+    asked = queries.select("vec_id", "vector").distinct()
+    barred_rows = data.select("vec_id").join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asked.join(barred_rows, "vec_id", "left").select("vec_id", "vector", F.coalesce("own", F.lit(0)).cast("long").alias("own"))
+    sent = asked.mapInArrow(send, "query_id long, vector array<double>, cells array<long>")
     sent = sent.select("query_id", "vector", F.explode("cells").alias("cell"))
     sent = sent.select("query_id", "vector", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(parts, F.col("cell")).cast("long") - 1)).alias("chunk"))
     sent = sent.select(F.struct("cell", "chunk").alias("place"), "query_id", "vector")

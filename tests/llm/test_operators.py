@@ -356,6 +356,14 @@ def test_top_k(spark, sizes):
     assert rows(got, "query_id", "rank", "vec_id", "score") == best(data, [x for x in data if x[0] % 50 == 0])
 
 
+def test_top_k_with_repeated_ids(spark):
+    """The rows of a query's own vec_id, however many, say nothing of the scores of others."""
+    data = [(0, [100.0, 100.0])] * 8 + [(i, [float(i), 10.0]) for i in range(1, 41)]
+    df = spark.createDataFrame(data, "vec_id long, vector array<double>")
+    for cell_rows in (1, 6):
+        assert rows(top_k(df, df.where("vec_id = 0"), cell_rows=cell_rows), "query_id", "rank", "vec_id", "score") == best(data, data[:1])
+
+
 def test_top_k_edges(spark):
     df = spark.createDataFrame([(1, [1.0]), (1, [1.0]), (2, [3.0])], "vec_id long, vector array<double>")
     assert rows(top_k(df, df), "query_id", "rank", "vec_id", "score") == [(1, 1, 2, 3), (2, 1, 1, 3), (2, 2, 1, 3)]
