@@ -52,12 +52,12 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of each document."""
+    """doc_id, n_tokens and ids of each document, and decoded_md5, the digest of the text that the ids decode to."""
     import public_tokenizers
 
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe_encode(docs, path, build_lexicon(docs, path))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = bpe_encode(docs, path, build_lexicon(docs, path), decode=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.md5(F.col("decoded").cast("binary")).alias("decoded_md5"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]

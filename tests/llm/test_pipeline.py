@@ -1,5 +1,6 @@
 """The pipeline on the smallest documents: each stage keeps what it should, and the last one gives the library's ids."""
 
+import hashlib
 import os
 
 import public_tokenizers
@@ -54,6 +55,13 @@ def test_empty_documents(spark):
         assert docs.count() == 0
 
 
+def test_ids_are_decoded(spark):
+    texts = {1: "Hello  world, it's\n2026!", 2: "Ünï 日本", 3: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.decoded_md5 for r in corpus_pipeline.bpe(spark, docs, SF).collect()}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in texts.items()}
+
+
 def test_all_personal_data_is_replaced(spark):
     docs = spark.createDataFrame([(1, "mail someone@mail.example.com now", "en", "s", 33)], "doc_id long, text string, lang string, source string, n_chars long")
     row = corpus_pipeline.pii(spark, docs, SF).first()
