@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.migrate.model import FrameChange, Migration, MigrationError, Operation, RowChange, Schemas, State, is_after
-from docloom.operators.mutable import _shape, prefixed_id, row_schema, with_defaults
+from docloom.migrate.model import FrameChange, Migration, MigrationError, Operation, RowChange, Schemas, State, is_after, is_ancestor
+from docloom.operators.mutable import _shape, apply_constraints, prefixed_id, row_schema, with_defaults
 from docloom.plans.stages import TYPE
 from docloom.schema import Array, MapOf, Node, Object, OneOf, Scalar, Union, Wrapped
 from docloom.sources.store import Store
@@ -163,6 +163,20 @@ def _instances(state: State, model: str, at: str, only: str | None = None) -> li
     return [n for n, m in state.model_of.items() if m == model and (only is None or n == only) and not is_after(state.created_at.get(n, "unknown"), at)]
 
 
+def concerns(m: Migration, made_by: str, migrations: Iterable[Migration] = ()) -> bool:
+    """Whether a migration concerns an instance that another one has made: by ancestry where both are known (it has to come after the
+    maker on its own line, or be on no line with it and not be older), and else by time."""
+    if made_by in ("unknown", "current", m.id):
+        return made_by == "unknown"
+    maker = next((x for x in migrations if x.id == made_by), None)
+    if maker is not None:
+        if is_ancestor(maker, m):
+            return True
+        if is_ancestor(m, maker):
+            return False
+    return not is_after(made_by, m.id)
+
+
 def _create_collection(spark, state, op, schemas, at):
     return state if op.target in state.collections else state.put("collections", op.target, _empty(spark, None, schemas.collections[op.target]))
 
@@ -544,12 +558,29 @@ def save(store: Store, before: State, after: State) -> None:
             store.about(name, model=after.model_of.get(name), created=after.created_at.get(name))
 
 
-def log_entry(store: Store, m: Migration, operation: str, seconds: float, error: str | None = None, target: str | None = None) -> None:
+def log_entries(store: Store, m: Migration, operation: str, seconds: float, error: str | None = None, targets: Iterable[str | None] = (None,)) -> None:
+    """One row for the migration itself (None) and for each instance, written together."""
     import datetime as dt
 
     if LOG not in store.tables():
         store.create(LOG, T._parse_datatype_string(LOG_SCHEMA))
-    store.append(LOG, store.spark.createDataFrame([(m.id, m.name, operation, target, dt.datetime.now(), seconds, error)], LOG_SCHEMA))
+    now = dt.datetime.now()
+    store.append(LOG, store.spark.createDataFrame([(m.id, m.name, operation, t, now, seconds, error) for t in targets], LOG_SCHEMA).coalesce(1))
+
+
+def log_entry(store: Store, m: Migration, operation: str, seconds: float, error: str | None = None, target: str | None = None) -> None:
+    log_entries(store, m, operation, seconds, error, [target])
+
+
+def _apply_indexes(store: Store, m: Migration) -> None:
+    """update_indexes, in the unit of work at hand: keys are tested against the schemas of the migration, which are noted with the table."""
+    for op in operations_of(m).operations:
+        if op.kind == "update_indexes":
+            model = store.about(op.target).get("model") if op.target in store.tables() else None
+            schema = m.schemas.collections.get(op.target) or m.schemas.multi.get(op.target) or m.schemas.models.get(model)
+            if schema is None:
+                raise MigrationError(f"{op.target} has no schema in {m.id}")
+            apply_constraints(store, op.target, schema)
 
 
 def history(store: Store) -> DataFrame:
@@ -592,21 +623,27 @@ def _run(store: Store, m: Migration, operation: str, change: Callable[[State], S
             if bad := problems(after, schemas):
                 raise MigrationError("; ".join(bad))
             save(store, before, after)
-            for name in after.model_of:
-                log_entry(store, m, operation, time.time() - began, target=name)
-            log_entry(store, m, operation, time.time() - began)
+            took = time.time() - began
+            log_entries(store, m, operation, took, targets=[None, *(n for n, model in after.model_of.items() if touches(m, n, model))])
+            if operation == "applied":
+                _apply_indexes(store, m)
     except Exception as e:
         log_entry(store, m, "failed", time.time() - began, f"{type(e).__name__}: {e}")
         raise
 
 
+def touches(m: Migration, name: str, model: str) -> bool:
+    """Whether a migration has an operation on an instance or on its model."""
+    return any(o.target in (model, name) for o in operations_of(m).operations)
+
+
 def catch_up_needed(store: Store, migrations: list[Migration]) -> dict[str, dict[str, Any]]:
     """For each instance: the migrations that are applied in general and concern it, but are not applied to it; orphaned without any history."""
     state, done = state_of(store), states(store)
     own = {(r.target, r.migration): r.state for r in fold_log(history(store).where("target is not null").withColumn("pair", F.struct("target", "migration")), "pair").select("pair.target", "pair.migration", "state").collect()}
     out = {}
     for name, model in state.model_of.items():
-        concerned = [m for m in migrations if done.get(m.id) == "applied" and not is_after(state.created_at.get(name, "unknown"), m.id) and any(o.target in (model, name) for o in operations_of(m).operations)]
+        concerned = [m for m in migrations if done.get(m.id) == "applied" and concerns(m, state.created_at.get(name, "unknown"), migrations) and touches(m, name, model)]
         missing = [m.id for m in concerned if own.get((name, m.id)) != "applied" and m.id != state.created_at.get(name)]
         out[name] = {"missing": missing, "orphaned": not any(t == name for t, _ in own)}
     return out

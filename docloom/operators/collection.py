@@ -96,7 +96,8 @@ class Collection(Reader):
         return self.df.where(self.filter(spec)).agg(F.count(F.lit(1)).alias("count"))
 
     def estimated_count(self) -> int:
-        return self.df.count()
+        """All rows; of a table read from Parquet as it is, by the files' footers alone."""
+        return self.df.select(F.lit(1)).count()
 
     def aggregate(self, pipeline: list | Callable[[StageBuilder], list]) -> DataFrame:
         return run_stages(self.df, pipeline(StageBuilder()) if callable(pipeline) else pipeline, self.context)
@@ -105,7 +106,7 @@ class Collection(Reader):
         """See paginate(); rows are sorted before the pipeline. Counts take all stored rows unless valid_only is set."""
         stages = pipeline(StageBuilder()) if callable(pipeline) else pipeline
         where = self.filter(spec) & self.valid if valid_only else self.filter(spec)
-        return paginate(self.df, self.context, where, pipeline=stages and list(map(parsed, stages)), sort_first=True, valid=self.valid, **options)
+        return paginate(self.df, self.context, where, pipeline=stages and list(map(parsed, stages)), sort_first=True, valid=self.schema.valid if self.schema and not self.trusted else None, **options)
 
 
 class MultiCollection(Reader):
@@ -127,9 +128,13 @@ class MultiCollection(Reader):
     @property
     def valid(self) -> Column:
         """Conforms to the schema of its own type; other types never do."""
-        if self.trusted:
-            return F.lit(True)
-        return F.coalesce(reduce(lambda a, b: a | b, [(F.col(TYPE) == k) & self.valid_of(k) for k in self.types]), F.lit(False))
+        return F.lit(True) if self.trusted else self.valid_in(self.df.schema)
+
+    def valid_in(self, schema: T.StructType) -> Column:
+        """The same for rows of a schema of their own, such as those that a pipeline leaves."""
+        if TYPE not in schema.names:
+            return F.lit(False)
+        return F.coalesce(reduce(lambda a, b: a | b, [(F.col(TYPE) == k) & node.valid(schema) for k, node in self.types.items()]), F.lit(False))
 
     def _known(self, key: str) -> Column:
         if key not in self.types:
@@ -172,4 +177,4 @@ class MultiCollection(Reader):
         typed = F.col(TYPE) == keys[0] if len(keys) == 1 else F.col(TYPE).isin(keys)
         where = typed & self.filter(spec)
         where = where & self.valid if valid_only else where
-        return paginate(self.df, self.context, where, pipeline=stages and list(map(parsed, stages)), sort_first=False, valid=self.valid, after_id=after_id, before_id=before_id, **options)
+        return paginate(self.df, self.context, where, pipeline=stages and list(map(parsed, stages)), sort_first=False, valid=None if self.trusted else self.valid_in, after_id=after_id, before_id=before_id, **options)

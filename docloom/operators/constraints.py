@@ -15,6 +15,10 @@ from docloom.plans.stages import TYPE
 from docloom.schema import Index, Node, indexes
 
 
+#: Ids that are looked up by a filter of the scan; more are joined.
+FEW_IDS = 1000
+
+
 class DuplicateKeyError(ValueError):
     pass
 
@@ -38,8 +42,16 @@ def violations(df: DataFrame, path: str, index: Index, type_name: str | None = N
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def check_ids(df: DataFrame, new: DataFrame, given: list[Any] | None = None) -> None:
+    """Raises where rows of `new` bring an `_id` that another row of df has; `given` are their ids where they are known, few enough to be a filter of the scan."""
+    ids = df.select("_id").where(F.col("_id").isin(given)) if given is not None and len(given) <= FEW_IDS else df.select("_id").join(new.select("_id").distinct(), "_id", "left_semi")
+    bad = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).first()
+    if bad is not None:
+        raise DuplicateKeyError(f"duplicate key _id: {bad['_id']}")
+
+
 def check_unique(df: DataFrame, schema: Node, type_name: str | None = None, new: DataFrame | None = None) -> None:
-    """Raises on a duplicate key; with `new`, only keys of these rows are looked at."""
+    """Raises on a duplicate key of an index; with `new`, only keys of these rows are looked at."""
     for path, index in indexes(schema).items():
         if index.unique:
             touched = new.select(value_at(new.schema, path).alias("key")) if new is not None else None

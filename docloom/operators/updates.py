@@ -89,8 +89,17 @@ def split_set(fields: Mapping[str, Any]) -> dict[str, dict[str, Any]]:
     return {k: v for k, v in (("$set", sets), ("$unset", unsets)) if v}
 
 
+class Told:
+    """A value that a column tells as JSON: {"v": value}."""
+
+    def __init__(self, column: Column):
+        self.column = column
+
+
 def literal_of(value: Any, kind: T.DataType) -> Column:
     """A Python value as a Column of a type; fields that a struct lacks are null."""
+    if isinstance(value, Told):
+        return F.from_json(value.column, T.StructType([T.StructField("v", kind)])).getField("v")
     if isinstance(value, Column):
         return value.cast(kind)
     if value is None:
@@ -217,15 +226,33 @@ def guard_delete(where: Any) -> None:
         raise ValueError("a delete without a filter is refused; pass safe=False to delete all documents")
 
 
-def bulk_updated(df: DataFrame, changes: DataFrame, id_col: str = "_id", insert: bool = False) -> DataFrame:
-    """df with rows replaced column by column from changes(id, columns...): a null there leaves the old value. With insert, ids that df lacks are added."""
-    columns = [c for c in changes.columns if c != id_col]
+def folded_changes(changes: DataFrame, id_col: str = "_id", order: str | None = None) -> DataFrame:
+    """One row for each id: that of the largest `order`, without this column; without order, a second row for an id fails the query."""
+    columns = [c for c in changes.columns if c not in (id_col, order)]
+    row = F.struct(*(quoted(c) for c in columns), F.lit(1).alias("_one"))
+    if order is not None:
+        folded = changes.groupBy(quoted(id_col).alias(id_col)).agg(F.max_by(row, quoted(order)).alias("_row"))
+    else:
+        n = F.count(F.lit(1))
+        twice = F.raise_error(F.concat(F.lit("two changes for id "), quoted(id_col).cast("string")))
+        folded = changes.groupBy(quoted(id_col).alias(id_col)).agg(F.first(row).alias("_row"), n.alias("_n"))
+        folded = folded.withColumn("_row", F.when(F.col("_n") > 1, twice.cast(folded.schema["_row"].dataType)).otherwise(F.col("_row")))
+    return folded.select(quoted(id_col), *(F.col("_row").getField(c).alias(c) for c in columns))
+
+
+def bulk_updated(df: DataFrame, changes: DataFrame, id_col: str = "_id", insert: bool = False, order: str | None = None, with_nulls: bool = False) -> DataFrame:
+    """df with rows replaced column by column from changes(id, columns...). A null there leaves the old value, or with_nulls is the new one. With insert, ids that df lacks are added.
+
+    Several changes for one id are folded to that of the largest `order`, a column of changes; without order they fail the query.
+    """
+    columns = [c for c in changes.columns if c not in (id_col, order)]
     unknown = set(columns) - set(df.columns)
     if unknown:
         raise KeyError(f"unknown columns {sorted(unknown)}")
-    named = changes.select(F.col(id_col).alias("_change_id"), *(F.col(c).alias(f"_new_{c}") for c in columns))
+    named = folded_changes(changes, id_col, order).select(F.col(id_col).alias("_change_id"), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = df.join(named, F.col(id_col) == F.col("_change_id"), "full" if insert else "left")
-    pick = {c: F.coalesce(F.col(f"_new_{c}"), quoted(c)).cast(df.schema[c].dataType) for c in columns}
+    new = lambda c: F.when(F.col("_change_id").isNotNull(), F.col(f"_new_{c}")).otherwise(quoted(c)) if with_nulls else F.coalesce(F.col(f"_new_{c}"), quoted(c))
+    pick = {c: new(c).cast(df.schema[c].dataType) for c in columns}
     return joined.select(*(F.coalesce(quoted(c), F.col("_change_id")).alias(c) if c == id_col else pick.get(c, quoted(c)).alias(c) for c in df.columns))
 
 

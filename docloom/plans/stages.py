@@ -32,6 +32,18 @@ class Context:
     variables: Mapping[str, Column] = field(default_factory=dict)
 
 
+def unused(df: DataFrame, *more: Any) -> list[str]:
+    """Names (the last arguments) with underscores added until neither df has such columns nor the stages before the names mention them."""
+    given = [m for m in more if not isinstance(m, str)]
+    taken, text, out = {c.lower() for c in df.columns}, json.dumps([_plain(s) for g in given for s in g], default=str), []
+    for name in (m for m in more if isinstance(m, str)):
+        while name.lower() in taken or name in text:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Stage:
     def apply(self, df: DataFrame, context: Context) -> DataFrame:
         raise NotImplementedError
@@ -60,10 +72,11 @@ class Unwind(Stage):
         if not isinstance(kind, T.ArrayType):
             return df if self.keep_empty else df.where(value.isNotNull())
         names = df.columns
-        spread = df.select("*", (F.posexplode_outer if self.keep_empty else F.posexplode)(value).alias("_at", "_item"))
-        item = F.col("_item") if not rest else quoted(head).withField(rest, F.col("_item"))
+        at, one = unused(df, "_at", "_item")
+        spread = df.select("*", (F.posexplode_outer if self.keep_empty else F.posexplode)(value).alias(at, one))
+        item = F.col(one) if not rest else quoted(head).withField(rest, F.col(one))
         out = [item.alias(c) if c == head else quoted(c) for c in names]
-        return spread.select(*out, *([F.col("_at").cast("long").alias(self.index)] if self.index else []))
+        return spread.select(*out, *([F.col(at).cast("long").alias(self.index)] if self.index else []))
 
 
 @dataclass(frozen=True)
@@ -110,40 +123,60 @@ class Lookup(Stage):
         kind = df.select(local.alias("v")).schema["v"].dataType
         if isinstance(kind, T.ArrayType):
             return self._by_elements(df, right, local, names)
-        same = self._same("_local", "_key")
-        left = df.withColumn("_local", local)
+        (own,) = unused(df, "_local")
+        hidden = [c for c in ("_key", "_doc", "_docs", "_rank") if c in df.columns]
+        right = right.withColumnsRenamed({c: f"{c}_of_lookup" for c in hidden}) if hidden else right
+        return self._joined(df.withColumn(own, local), right, own, names, {c: f"{c}_of_lookup" if c in hidden else c for c in ("_key", "_doc", "_docs", "_rank")})
+
+    def _joined(self, left: DataFrame, right: DataFrame, own: str, names: list[str], called: dict[str, str]) -> DataFrame:
+        key, doc, docs = called["_key"], called["_doc"], called["_docs"]
+        same = self._same(own, key)
         if self.mode in ("semi", "anti"):
-            return left.join(right.select("_key"), same, f"left_{self.mode}").drop("_local")
+            return left.join(right.select(key), same, f"left_{self.mode}").drop(own)
         if self.mode in ("inner", "outer"):
             joined = left.join(right, same, "inner" if self.mode == "inner" else "left")
-            return joined.select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
+            return joined.select(*(quoted(c) for c in names), F.col(doc).alias(self.to))
         if self.mode == "count":
-            grouped = right.groupBy("_key").agg(F.count(F.lit(1)).cast("int").alias("_docs"))
-            return left.join(grouped, same, "left").select(*(quoted(c) for c in names), F.coalesce("_docs", F.lit(0)).alias(self.to))
-        grouped = right.groupBy("_key").agg(_collected(right).alias("_docs"))
+            grouped = right.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias(docs))
+            return left.join(grouped, same, "left").select(*(quoted(c) for c in names), F.coalesce(docs, F.lit(0)).alias(self.to))
+        grouped = right.groupBy(key).agg(_collected(right, called).alias(docs))
         joined = left.join(grouped, same, "left")
-        return joined.select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), right).alias(self.to))
+        return joined.select(*(quoted(c) for c in names), _or_empty(F.col(docs), right, doc).alias(self.to))
 
     def _by_elements(self, df: DataFrame, right: DataFrame, local: Column, names: list[str]) -> DataFrame:
-        """A local array matches by any element; each foreign row once."""
-        rows = df.withColumn("_row", F.monotonically_increasing_id())
-        keys = rows.select("_row", F.explode(F.array_distinct(local)).alias("_local"))
+        """A local array matches by any element; each foreign row once. Matches depend on the array alone, which is the key that brings them back."""
+        (of,) = unused(df, "_of")
+        rows = df.withColumn(of, local)
+        keys = rows.select(F.col(of).alias("_array")).distinct().select("_array", F.explode(F.array_distinct("_array")).alias("_local"))
         pairs = keys.join(right, self._same("_local", "_key"))
-        docs = pairs.groupBy("_row").agg(_collected(right).alias("_docs"))
+        found = self._brought_back(rows, pairs.drop("_local", "_key"), F.col(of) == F.col("_array"), "_array", df.columns, names)
+        return found
+
+    def _brought_back(self, rows: DataFrame, docs: DataFrame, same: Column, by: str, columns: list[str], names: list[str]) -> DataFrame:
+        """Each row's documents `_doc` of docs, whose column `by` tells what they belong to."""
         if self.mode in ("semi", "anti"):
-            return rows.join(pairs.select("_row"), "_row", f"left_{self.mode}").select(*(quoted(c) for c in df.columns))
+            return rows.join(docs.select(by).distinct(), same, f"left_{self.mode}").select(*(quoted(c) for c in columns))
         if self.mode in ("inner", "outer"):
-            return rows.join(pairs, "_row", "inner" if self.mode == "inner" else "left").select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
-        found = rows.join(docs, "_row", "left").select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), right).alias(self.to))
-        return found.withColumn(self.to, F.size(self.to)) if self.mode == "count" else found
+            return rows.join(docs, same, "inner" if self.mode == "inner" else "left").select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
+        if self.mode == "count":
+            grouped = docs.groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("_docs"))
+            return rows.join(grouped, same, "left").select(*(quoted(c) for c in names), F.coalesce("_docs", F.lit(0)).alias(self.to))
+        grouped = docs.groupBy(by).agg(_collected(docs).alias("_docs"))
+        return rows.join(grouped, same, "left").select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), docs).alias(self.to))
 
     def _correlated(self, df: DataFrame, context: Context) -> DataFrame:
-        """Variables of the local row in a sub-pipeline: its leading matches are the join's condition."""
+        """Variables of the local row in a sub-pipeline: its leading matches are the join's condition.
+
+        Matches depend on the values of the variables (and of the local field) alone: these, distinct, are joined, and are the key that brings matches back.
+        """
         outer = Scope(df.schema, context.variables)
-        left = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_let", F.struct(*(compile_expression(v, outer).alias(k) for k, v in self.let.items())))
-        right = self._foreign(context)
+        (of,) = unused(df, "_given")
+        values = [compile_expression(v, outer).alias(k) for k, v in self.let.items()]
+        own = [value_at(df.schema, self.local).alias("_local")] if self.foreign is not None else []
+        rows = df.withColumn(of, F.struct(*values, *own) if values or own else F.struct(F.lit(1).alias("_none")))
+        left, right = rows.select(F.col(of).alias("_let")).distinct(), self._foreign(context)
         if self.foreign is not None:
-            left, right = left.withColumn("_local", value_at(df.schema, self.local)), right.withColumn("_key", value_at(right.schema, self.foreign))
+            right = right.withColumn("_key", value_at(right.schema, self.foreign))
         leading = []
         rest = list(self.pipeline)
         while rest and isinstance(rest[0], Match):
@@ -155,10 +188,11 @@ class Lookup(Stage):
         inner = _Renamed(right.schema)
         condition = reduce(lambda a, b: a & b, [_match_renamed(s.spec, inner, variables) for s in leading], F.lit(True))
         if self.foreign is not None:
-            condition = self._same("_local", "_f__key") & condition
+            local, key = F.col("_let").getField("_local"), F.col("_f__key")
+            condition = (local.eqNullSafe(key) if self.null_keys else local == key) & condition
         hidden = {"_key"} if self.foreign is not None else set()
-        pairs = left.select("_row", "_let", *(["_local"] if self.foreign is not None else [])).join(renamed, condition)
-        pairs = pairs.select(F.col("_row").alias("_key"), *(F.col(f"`_f_{c}`").alias(c) for c in right.columns if c not in hidden))
+        pairs = left.join(renamed, condition)
+        pairs = pairs.select(F.col("_let").alias("_key"), *(F.col(f"`_f_{c}`").alias(c) for c in right.columns if c not in hidden))
         for stage in rest:
             if isinstance(stage, (Sort, Skip, Limit, Group, Count)):
                 pairs = _per_key(stage, pairs)
@@ -168,15 +202,7 @@ class Lookup(Stage):
                 pairs = stage.apply(pairs, context)
         docs = pairs.select(F.col("_key").alias("_of"), *(["_rank"] if "_rank" in pairs.columns else []), F.struct(*(quoted(c) for c in pairs.columns if c not in ("_key", "_rank"))).alias("_doc"))
         names = [c for c in df.columns if c != self.to]
-        if self.mode in ("semi", "anti"):
-            return left.join(docs.select("_of"), F.col("_row") == F.col("_of"), f"left_{self.mode}").select(*(quoted(c) for c in df.columns))
-        if self.mode in ("inner", "outer"):
-            return left.join(docs, F.col("_row") == F.col("_of"), "inner" if self.mode == "inner" else "left").select(*(quoted(c) for c in names), F.col("_doc").alias(self.to))
-        if self.mode == "count":
-            grouped = docs.groupBy("_of").agg(F.count(F.lit(1)).cast("int").alias("_docs"))
-            return left.join(grouped, F.col("_row") == F.col("_of"), "left").select(*(quoted(c) for c in names), F.coalesce("_docs", F.lit(0)).alias(self.to))
-        grouped = docs.groupBy("_of").agg(_collected(docs).alias("_docs"))
-        return left.join(grouped, F.col("_row") == F.col("_of"), "left").select(*(quoted(c) for c in names), _or_empty(F.col("_docs"), docs).alias(self.to))
+        return self._brought_back(rows, docs, F.col(of).eqNullSafe(F.col("_of")), "_of", df.columns, names)
 
 
 class _Renamed(T.StructType):
@@ -212,14 +238,15 @@ def _match_renamed(spec: Mapping[str, Any], schema: T.StructType, variables: Map
     return reduce(lambda a, b: a & b, out, F.lit(True))
 
 
-def _collected(rows: DataFrame) -> Column:
-    if "_rank" not in rows.columns:
-        return F.collect_list("_doc")
-    return F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_doc")), lambda a, b: (a["_rank"] - b["_rank"]).cast("int")), lambda x: x["_doc"])
+def _collected(rows: DataFrame, called: Mapping[str, str] | None = None) -> Column:
+    rank, doc = (called or {}).get("_rank", "_rank"), (called or {}).get("_doc", "_doc")
+    if rank not in rows.columns:
+        return F.collect_list(doc)
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("_rank"), F.col(doc).alias("_doc"))), lambda a, b: (a["_rank"] - b["_rank"]).cast("int")), lambda x: x["_doc"])
 
 
-def _or_empty(docs: Column, rows: DataFrame) -> Column:
-    return F.coalesce(docs, F.array().cast(T.ArrayType(rows.schema["_doc"].dataType)))
+def _or_empty(docs: Column, rows: DataFrame, doc: str = "_doc") -> Column:
+    return F.coalesce(docs, F.array().cast(T.ArrayType(rows.schema[doc].dataType)))
 
 
 def _per_key(stage: Stage, df: DataFrame) -> DataFrame:

@@ -60,7 +60,10 @@ class Node:
         return {**self.kind(), **{k: (v.pattern if isinstance(v, re.Pattern) else v) for k, v in combined(self.checks).items() if not callable(v)}}
 
     def check(self, **limits: Any) -> Node:
-        """With more constraints: length, min_value, max_value, min_length, max_length, non_empty, integer, pattern, or predicates by name."""
+        """With more constraints: length, min_value, max_value, min_length, max_length, non_empty, integer, pattern, or predicates by name; other names are refused."""
+        for name, value in limits.items():
+            if name not in _CHECKS and name != "non_empty" and not callable(value):
+                raise SchemaError(f"unknown check {name}")
         return replace(self, checks=self.checks + tuple(limits.items()))
 
     def indexed(self, **options: Any) -> Node:

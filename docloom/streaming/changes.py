@@ -19,6 +19,7 @@ _watchers: list[Watcher] = []
 
 def change_stream(store: Store) -> DataFrame:
     """The change log as a stream: seq, ns, operation, id, document (JSON)."""
+    store.finish_changes()
     folder = f"{store.root}/_changes"
     store._fs(folder).mkdirs(store._path(folder))
     return store.spark.readStream.schema(CHANGES_SCHEMA).parquet(folder)
@@ -26,6 +27,7 @@ def change_stream(store: Store) -> DataFrame:
 
 def change_log(store: Store) -> DataFrame:
     """The same as a table."""
+    store.finish_changes()
     folder = f"{store.root}/_changes"
     store._fs(folder).mkdirs(store._path(folder))
     return store.spark.read.schema(CHANGES_SCHEMA).parquet(folder)
@@ -43,6 +45,7 @@ class Watcher:
         self.listeners: dict[tuple[str, str], list[Callable[[dict[str, Any]], None]]] = {}
         self.query: Any = None
         _watchers.append(self)
+        store.on_drop.append(self.dropped)
 
     def on(self, ns: str, operation: str, f: Callable[[dict[str, Any]], None]) -> None:
         if operation not in OPERATIONS:
@@ -72,12 +75,21 @@ class Watcher:
         self.query = (writer.trigger(availableNow=True) if available_now else writer).start()
         return self.query
 
+    def dropped(self, ns: str) -> None:
+        """A table is gone: its listeners go, and without any left the stream stops."""
+        for key in [k for k in self.listeners if k[0] == ns]:
+            del self.listeners[key]
+        if not any(self.listeners.values()):
+            self.stop()
+
     def stop(self) -> None:
         if self.query is not None:
             self.query.stop()
             self.query = None
         if self in _watchers:
             _watchers.remove(self)
+        if self.dropped in self.store.on_drop:
+            self.store.on_drop.remove(self.dropped)
 
 
 def close_all_watchers() -> None:
