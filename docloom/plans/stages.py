@@ -274,7 +274,7 @@ class Project(Stage):
         drop = [k for k, v in spec.items() if v is False or (isinstance(v, int) and v == 0)]
         if drop and len(drop) < len(spec):
             raise ValueError("a projection includes or excludes, not both")
-        if drop or not spec:
+        if drop or not spec and not (with_id and "_id" in self.spec):
             out = df.drop(*(k for k in drop if "." not in k), *([] if with_id else ["_id"]))
             for path in (k for k in drop if "." in k):
                 head, _, rest = path.partition(".")

@@ -31,6 +31,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; where it is unset, a temporary one on one machine (tests), and an error on a cluster."""
+    import tempfile
+
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return place or tempfile.mkdtemp(prefix="docloom-")
+
+
 def collection(spark: SparkSession, sf_dir: str, name: str, id_col: str | None = None, schema=None, **more: DataFrame) -> Collection:
     df = read(spark, sf_dir, name)
     if id_col:
@@ -487,10 +497,41 @@ def page_total_pipeline(spark, sf_dir):
 @query("SELECT o_orderkey AS _id, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > 100 ORDER BY 1 LIMIT 30")
 def page_pipeline_lookup(spark, sf_dir):
     orders = collection(spark, sf_dir, "orders", "o_orderkey", customer=read(spark, sf_dir, "customer"))
-    page = orders.paginate({"o_orderkey": {"$gt": 100}}, limit=30, pipeline=lambda s: [s.external_lookup("customer", "o_custkey", "c_custkey", "c"), s.unwind("c"), s.add_fields({"segment": "$c.c_mktsegment"}), s.sort({"_id": 1})], skip_total=True)
+    page = orders.paginate({"o_orderkey": {"$gt": 100}}, limit=30, pipeline=lambda s: [s.external_lookup("customer", "o_custkey", "c_custkey", "c"), s.unwind("c"), s.add_fields({"segment": "$c.c_mktsegment"})], skip_total=True)
     return page.rows.select("_id", "segment")
 
 
+@query("SELECT o_orderkey AS _id, o_totalprice AS price, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def page_pipeline_unsorted(spark, sf_dir):
+    """A page in descending order through a shuffled lookup that sorts nothing itself."""
+    orders = collection(spark, sf_dir, "orders", "o_orderkey", customer=read(spark, sf_dir, "customer").hint("merge"))
+    page = orders.paginate({"o_totalprice": {"$gt": 1000}}, limit=25, sort={"o_totalprice": -1}, pipeline=lambda s: [s.external_lookup("customer", "o_custkey", "c_custkey", "c"), s.unwind("c"), s.add_fields({"segment": "$c.c_mktsegment"})], skip_total=True)
+    return page.rows.selectExpr("_id", "o_totalprice AS price", "segment")
+
+
+@query("SELECT o_orderkey AS _id, o_totalprice * 2 AS twice FROM orders WHERE o_totalprice >= 50000 ORDER BY o_totalprice, o_orderkey LIMIT 20")
+def page_pipeline_invalid(spark, sf_dir):
+    """Documents that don't conform are left out of a page with a pipeline too."""
+    orders = collection(spark, sf_dir, "orders", "o_orderkey", obj(o_totalprice=number(min_value=50000)))
+    page = orders.paginate({}, limit=20, sort={"o_totalprice": 1}, pipeline=lambda s: [s.add_fields({"twice": {"$multiply": ["$o_totalprice", 2]}})], skip_total=True)
+    return page.rows.select("_id", "twice")
+
+
+@query("SELECT o_orderkey AS _id, c_mktsegment AS segment FROM (SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 40) JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def page_pipeline_inner_limit(spark, sf_dir):
+    """A limit between the sort and a lookup takes the first rows of the order."""
+    orders = collection(spark, sf_dir, "orders", "o_orderkey", customer=read(spark, sf_dir, "customer"))
+    page = orders.paginate({}, limit=10, sort={"o_totalprice": -1}, pipeline=lambda s: [s.limit(40), s.external_lookup("customer", "o_custkey", "c_custkey", "c"), s.unwind("c"), s.project({"segment": "$c.c_mktsegment"})], skip_total=True)
+    return page.rows.select("_id", "segment")
+
+
+@query("SELECT o_orderkey AS _id, 1 AS more, 0 AS cut_short FROM orders WHERE o_orderkey > 7 ORDER BY 1 LIMIT 5")
+def page_peek_after_wins(spark, sf_dir):
+    """One row more is looked for; after wins where both anchors are given."""
+    page = collection(spark, sf_dir, "orders", "o_orderkey").paginate({}, limit=5, after_id=7, before_id=100, peek=True, skip_total=True)
+    return page.rows.select("_id", F.lit(int(bool(page.has_more))).alias("more"), F.lit(int(page.cut_short)).alias("cut_short"))
+
+
 @query(f"WITH {PEOPLE} SELECT _id, name FROM people ORDER BY substr(_id, instr(_id, ':') + 1), _id LIMIT 30")
 def page_natural_id(spark, sf_dir):
     return people(spark, sf_dir).paginate(["customer", "supplier"], limit=30, natural_id_sort=True, skip_total=True).rows.select("_id", "name")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from docloom.migrate.engine import fold_log
 from docloom.operators.constraints import expired, violations
 from docloom.operators.updates import bulk_updated, deleted, deleted_ids, guard_delete, updated
 from docloom.plans.stages import TYPE
-from docloom.queries import LINES, PEOPLE, _orders_with_lines, people, query, read
+from docloom.queries import LINES, PEOPLE, _orders_with_lines, people, query, read, shared_folder
 from docloom.schema import Index
 from docloom.streaming.changes import change_counts
 from docloom.streaming.windows import distinct_events, sessions, tumbling
@@ -129,17 +128,6 @@ def pending_ids(spark, sf_dir):
     return every.join(fold_log(_log(spark, sf_dir), error=None).where("state = 'applied'"), "migration", "left_anti")
 
 
-@query("SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS same FROM customer")
-def transform_up_down(spark, sf_dir):
-    before = read(spark, sf_dir, "customer")
-    up = before.select("c_custkey", F.struct(F.split("c_name", "#")[0].alias("kind"), F.split("c_name", "#")[1].alias("number")).alias("name"), F.struct("c_acctbal", "c_mktsegment").alias("account"))
-    down = up.select("c_custkey", F.concat(F.col("name.kind"), F.lit("#"), F.col("name.number")).alias("c_name"), "account.c_acctbal", "account.c_mktsegment")
-    same = down.withColumnsRenamed({c: f"_{c}" for c in down.columns})
-    joined = before.join(same, F.col("c_custkey") == F.col("_c_custkey"))
-    equal = (F.col("c_name") == F.col("_c_name")) & (F.col("c_acctbal") == F.col("_c_acctbal")) & (F.col("c_mktsegment") == F.col("_c_mktsegment"))
-    return joined.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(equal, 1)).alias("same"))
-
-
 # --- change events and event time
 
 
@@ -151,8 +139,7 @@ def change_counts_by_type(spark, sf_dir):
 def _streamed(spark, sf_dir, name: str, build) -> DataFrame:
     """What a stream over a table's file has put out once it has read all of it; checkpoint and output lie in the shared folder."""
     source = spark.readStream.schema(read(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/{name}.parquet") else spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parquet")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-")
-    at = f"{shared}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     out = build(source)
     out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")

@@ -15,7 +15,7 @@ from docloom.operators.mutable import MutableCollection, MutableMulti, new_id
 from docloom.operators.paginate import column_hook
 from docloom.operators.updates import MISSING, REMOVE, UndefinedValueError, partial, sanitize, split_set, undefined_to_null, updated
 from docloom.plans.stages import Lookup, Match, StageBuilder, Unwind, optimized
-from docloom.schema import Index, array, boolean, combined, date, difference, indexes, integer, intersect, literal, null, nullable, number, obj, optional, record, ref_id, same, string, union
+from docloom.schema import Index, SchemaError, array, boolean, combined, date, difference, indexes, integer, intersect, literal, null, nullable, number, obj, optional, record, ref_id, same, string, union
 from docloom.sources.store import Store, WriteConflictError, with_retry
 from docloom.streaming.changes import Watcher, change_log
 
@@ -150,6 +150,39 @@ def test_page_hooks_and_filters(items):
     assert counted.total == 5
 
 
+def test_order_holds_through_a_pipeline(spark, monkeypatch):
+    """Shuffles, joins, projections and limits of a pipeline leave the page's order; a sort of its own comes first."""
+    df = spark.range(2000).select(F.format_string("d%04d", "id").alias("_id"), (F.col("id") * 7919 % 2000).alias("r"), (F.col("id") % 50).alias("k"), F.lit("mine").alias("_key0"))
+    other = spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("n"), "id").alias("name")).hint("merge")
+    store = Collection(df, None, {"other": other})
+    lookup = lambda s: [s.external_lookup("other", "k", "k", "o"), s.unwind("o"), s.project({"r": 1, "_key0": 1, "name": "$o.name"})]
+    page = store.paginate({}, sort={"r": -1}, limit=8, pipeline=lookup)
+    got = page.rows.collect()
+    assert [r.r for r in got] == list(range(1999, 1991, -1)) and got[0]["_key0"] == "mine" and page.rows.columns == ["_id", "r", "_key0", "name"]
+    following = store.paginate({}, sort={"r": -1}, limit=3, after_id=got[-1]["_id"], pipeline=lookup)
+    assert [r.r for r in following.rows.collect()] == [1991, 1990, 1989] and following.position == 8
+    back = store.paginate({}, sort={"r": -1}, limit=3, before_id=got[-1]["_id"], pipeline=lookup)
+    assert [r.r for r in back.rows.collect()] == [1995, 1994, 1993]
+    own = store.paginate({}, limit=3, pipeline=lambda s: [*lookup(s), s.sort({"name": 1})], skip_total=True)
+    assert {r.name for r in own.rows.collect()} == {"n0"}
+    checked = Collection(df, obj(r=number(min_value=5)), {"other": other}).paginate({}, sort={"r": 1}, limit=2, pipeline=lookup, show=lambda d: d["r"])
+    assert checked.rows == [5, 6] and not checked.cut_short
+    monkeypatch.setattr("docloom.operators.paginate.HOOK_SCAN", 10)
+    short = store.paginate({}, limit=5, keep=lambda d: False, peek=True)
+    assert short.rows == [] and short.cut_short and short.has_more
+
+
+def test_lookups_by_value(spark):
+    """Equal arrays and variables bring the same documents back; columns named as those used inside stay."""
+    left = spark.createDataFrame([("a", ["x", "y"], 1, "k"), ("b", ["x", "y"], 1, "k"), ("c", None, None, "k"), ("d", ["z", None], 2, "k")], "_id string, ks array<string>, n int, _key string")
+    right = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "key string, v int")
+    run = lambda *stages: {r["_id"]: sorted(x.v for x in r.m) for r in Collection(left, None, {"r": right}).aggregate(list(stages)).collect()}
+    assert run({"$lookup": {"from": "r", "localField": "ks", "foreignField": "key", "as": "m"}}) == {"a": [1, 2], "b": [1, 2], "c": [], "d": [3]}
+    assert run({"$lookup": {"from": "r", "let": {"n": "$n"}, "pipeline": [{"$match": {"$expr": {"$gt": ["$v", "$$n"]}}}], "as": "m"}}) == {"a": [2, 3], "b": [2, 3], "c": [1, 2, 3], "d": [3]}  # null is below every value
+    kept = Collection(left, None, {"r": right.withColumnRenamed("key", "k")}).aggregate([{"$lookup": {"from": "r", "localField": "_key", "foreignField": "k", "as": "m"}}])
+    assert {r["_key"] for r in kept.collect()} == {"k"}
+
+
 def test_several_types(spark):
     c = spark.createDataFrame([("collaborator:2", "C2"), ("collaborator:4", "C4")], "_id string, name string")
     v = spark.createDataFrame([("visitor:1", "V1", 1), ("visitor:3", None, 2)], "_id string, name string, n int")
@@ -186,6 +219,12 @@ def test_union_of_objects(spark):
     assert intersect(obj(a=string()), obj(b=number())).spark().names == ["a", "b"]
 
 
+def test_unknown_checks_are_refused():
+    with pytest.raises(SchemaError, match="unknown check"):
+        integer(minimum=0)
+    assert integer(min_value=0, positive=lambda c: c > 0)
+
+
 def test_constraints_combine_and_differ():
     assert combined((("min_length", 2), ("min_length", 5), ("max_value", 9), ("max_value", 3), ("pattern", "a"), ("pattern", re.compile("b")))) == {"min_length": 5, "max_value": 3, "pattern": "(?=a)(?=b)"}
     a, b = obj(x=string(), y=number()), obj(x=string(max_length=3), z=boolean())
@@ -333,6 +372,58 @@ def test_typed_store_and_changes(store, tmp_path):
     assert len(new_id()) == 26 and new_id()[:8] <= new_id()[:8]
 
 
+def test_a_commit_cut_off_keeps_its_changes(spark, store, monkeypatch):
+    """The records of a commit that ended before they were moved are moved by whoever opens the store next."""
+    items = MutableCollection(store, "items", obj(n=number()))
+
+    def cut(self):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "finish_changes", cut)
+        items.insert_one({"_id": "a", "n": 1})
+    assert items.count() == 1
+    assert [r.id for r in change_log(Store(spark, store.root)).collect()] == ["a"]
+
+
+def test_only_touched_files_are_written(store):
+    items = MutableCollection(store, "items", obj(n=number()))
+    for n in range(3):
+        items.insert_many([{"_id": f"{n}{k}", "n": n} for k in range(4)])
+    before = store.tables()["items"]["parts"][""]
+    assert items.update_many({"n": 1}, {"$set": {"n": 9}}) == 4
+    after = store.tables()["items"]["parts"][""]
+    assert {before[0], before[2]} <= set(after) and before[1] not in after and items.count() == 12 and items.count({"n": 9}) == 4
+    assert items.delete_many({"n": 0}) == 4 and items.count() == 8
+    assert store.compact("items") == 1 and len(store.tables()["items"]["parts"][""]) == 1 and items.count() == 8
+    assert store.expire(keep=1) >= 4 and items.count() == 8
+
+
+def test_ids_are_unique_and_bulk_changes_fold(store, spark):
+    items = MutableCollection(store, "items", obj(n=number(), t=optional(string())))
+    items.insert_one({"_id": "a", "n": 1, "t": "x"})
+    with pytest.raises(DuplicateKeyError):
+        items.insert_one({"_id": "a", "n": 2})
+    with pytest.raises(DuplicateKeyError):
+        items.insert_frame(spark.createDataFrame([("b", 1.0), ("b", 2.0)], "_id string, n double"))
+    twice = spark.createDataFrame([("a", 5.0, 2), ("a", 4.0, 1), ("c", 7.0, 1), ("c", 8.0, 3)], "_id string, n double, at int")
+    items.merge_frame(twice, order="at")
+    assert sorted((r["_id"], r.n, r.t) for r in items.df.collect()) == [("a", 5.0, "x"), ("c", 8.0, None)]
+    with pytest.raises(Exception, match="two changes for id"):
+        items.merge_frame(twice.drop("at"))
+    items.merge_frame(spark.createDataFrame([("a", None)], "_id string, t string"), insert=False, with_nulls=True)
+    assert items.get_by_id("a").t is None and items.get_by_id("a").n == 5
+
+
+def test_a_dropped_table_closes_its_stream(store, tmp_path):
+    items = MutableCollection(store, "items", obj(n=number()))
+    watcher = Watcher(store, str(tmp_path / "cp"))
+    watcher.on("items", "insert", print)
+    query = watcher.start()
+    items.drop()
+    assert not query.isActive and not watcher.listeners
+
+
 # --- migrations
 
 ONE = Schemas(collections={"products": obj(name=string(), price=number())}, models={"posts": {"article": obj(title=string())}})
