@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,8 +19,11 @@ LOWER = UPPER.lower()
 #: Runs of characters that separate words: all of ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Characters of text that a Python worker holds as words at a time.
-PIECE_CHARS = 2_000_000
+#: Bytes of text that a Python worker holds as words at a time.
+PIECE_CHARS = 1_000_000
+
+#: Caches of Python workers, and the operators that use each.
+_CACHES: dict[Callable, tuple[str, ...]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +31,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's spark.checkpoint.dir; only where it is unset (tests, one machine) take a temporary folder."""
+    """Use the session's spark.checkpoint.dir; where it is unset, take a temporary folder on one machine (tests), and refuse on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="docloom-"))
+    place = context.getConf().get("spark.checkpoint.dir")
+    if not place and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(place or tempfile.mkdtemp(prefix="docloom-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -59,6 +68,36 @@ def alnum_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
 
 
+def cached(*operators: str, size: int = 1) -> Callable[[Callable], Callable]:
+    """lru_cache for what Python workers keep from one task to the next, for these operators alone: see lean()."""
+
+    def wrap(f: Callable) -> Callable:
+        kept = lru_cache(maxsize=size)(f)
+        _CACHES[kept] = operators
+        return kept
+
+    return wrap
+
+
+def lean(operator: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, in workers that serve one operator after another: caches of the others go before it, and freed memory goes back to the system after it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cache, operators in _CACHES.items():
+            if operator not in operators and cache.cache_info().currsize:
+                cache.cache_clear()
+                gc.collect()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = PIECE_CHARS) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `limit` bytes of text at most (one row at least)."""
     for batch in batches:
