@@ -1,8 +1,9 @@
 """Benchmark decontamination: a broadcast hash set of test n-grams meets all token windows of the corpus.
 
-Every window of a document is hashed; the hashes meet the benchmark's windows in a broadcast join, and
-a hit is verified word by word in the same step, so unmatched windows never leave the scan. The broadcast
-side is cut into blocks of at most MAX_BROADCAST_WINDOWS windows; a larger benchmark takes a scan for each block.
+A bitmap of the first LEAD words of all benchmark windows, a literal of the plan, is asked at each word of a document; only the windows
+that begin at the places it lets through become rows. Their hashes meet the benchmark's windows in a broadcast join, and
+a hit is verified word by word in the same step. The broadcast side is cut into blocks of at most MAX_BROADCAST_WINDOWS windows and
+MAX_BROADCAST_BYTES bytes; a larger benchmark takes a scan for each block.
 """
 
 from __future__ import annotations
@@ -12,48 +13,78 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SEPARATORS, alnum_words, fresh, read_table
+from docloom.llm.common import SEPARATORS, alnum_words, checkpoint, fresh, read_table
 
 WINDOW = 10
 MAX_BROADCAST_WINDOWS = 1_000_000
+MAX_BROADCAST_BYTES = 256_000_000
+#: Words of a window that the bitmap knows, and its bits for each of them.
+LEAD = 4
+BITS = 16
 
 
-def _windows(words: Column, size: int) -> Column:
-    """array<struct<start, size, hash>> of the windows of so many words, from word 0 on."""
+def _bitmap(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A literal array<bigint> with a bit for each of the n hashes, and how many numbers it has: a power of two."""
+    numbers = 1 << max(4, (n * BITS // 64).bit_length())
+    bits = hashes.select(F.pmod(F.shiftright("hash", 6), F.lit(numbers)).alias("at"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
+    found = {r["at"]: r["bits"] for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect()}  # at most `numbers` rows: two bytes a window
+    return F.split(F.lit(",".join(str(found.get(i, 0)) for i in range(numbers))), ",").cast("array<bigint>"), numbers
+
+
+def _starts(words: Column, size: int, bitmap: Column, numbers: int) -> Column:
+    """The places where `size` words stand that the bitmap lets through."""
     n = F.size(words)
-    found = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(i.alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash")))
-    return F.when(n >= size, found).otherwise(F.array().cast("array<struct<start:int,size:int,hash:bigint>>"))
+
+    def known(i: Column) -> Column:
+        hash = F.xxhash64(F.slice(words, i + 1, size))
+        return F.getbit(F.get(bitmap, F.pmod(F.shiftright(hash, 6), F.lit(numbers)).cast("int")), hash.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return F.when(n >= size, F.filter(F.sequence(F.lit(0), n - size), known)).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(words: Column, starts: Column, size: int) -> Column:
+    """array<struct<start, window>> of the windows of so many words at these places."""
+    whole = F.filter(starts, lambda i: i + size <= F.size(words))
+    return F.transform(whole, lambda i: F.struct(i.alias("start"), F.slice(words, i + 1, size).alias("window")))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """hash, gram array<string>, items array<string>: the distinct windows and the items that hold each.
 
-    An item of fewer words than a window, but not none, is one window; null and empty items have none.
+    An item of fewer words than a window, but not none, is one window; null and empty items have none. A null id counts as the empty one.
     """
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), alnum_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), alnum_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     size = F.least(F.size("words"), F.lit(window))
-    grams = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("gram"))
+    grams = items.select("item", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))).alias("gram"))
     return grams.groupBy("gram").agg(F.collect_set("item").alias("items")).select(F.xxhash64("gram").alias("hash"), "gram", "items")
 
 
-def hits_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
+def hits_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST_WINDOWS, bench_id_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, spans array<struct<start, size>>, items array<string>, copies, and key (a hash of the text) for each distinct row of docs.
 
     spans are the places of benchmark windows by word, in order; copies counts rows with this doc_id and text.
     Null texts have no words and no hits.
     """
-    grams = benchmark_windows(benchmark, window).persist()
-    found = grams.agg(F.count("*").alias("n"), F.collect_set(F.size("gram")).alias("sizes")).first()
-    sizes, blocks = sorted(found.sizes), max(1, -(-found.n // max_broadcast))
+    grams = checkpoint(benchmark_windows(benchmark, window, bench_id_col, bench_text_col))
+    size_of = F.octet_length(F.array_join("gram", " ")) + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    found = grams.agg(F.count("*").alias("n"), F.collect_set(F.size("gram")).alias("sizes"), F.sum(size_of).alias("bytes")).first()
+    blocks = max(1, -(-found.n // max_broadcast), -(-(found.bytes or 0) // MAX_BROADCAST_BYTES))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), alnum_words(F.col(text_col)).alias("words"))
     base = base.withColumn("n_words", F.size("words").cast("long"))
-    head = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash")))  # stands for the row itself
+    head = F.array(F.struct(F.lit(-1).alias("start"), F.array().cast("array<string>").alias("window")))  # stands for the row itself
     parts = []
     for block in range(blocks):
         own = grams if blocks == 1 else grams.where(F.pmod(F.col("hash"), F.lit(blocks)) == block)
-        rows = base.select("doc_id", "key", "n_words", "words", F.inline(F.concat(head, *(_windows(F.col("words"), s) for s in sizes))).alias("start", "size", "hash"))
+        windows = []
+        for lead in sorted({min(s, LEAD) for s in found.sizes}):
+            leads = own.where(F.least(F.size("gram"), F.lit(LEAD)) == lead).select(F.xxhash64(F.slice("gram", 1, lead)).alias("hash"))
+            starts = _starts(F.col("words"), lead, *_bitmap(leads, found.n // blocks))
+            windows += [_windows(F.col("words"), starts, s) for s in sorted(found.sizes) if min(s, LEAD) == lead]
+        # an outer generator, which no filter on the size of its array is derived from (it would make the words anew for each place); rows carry their own window and not the text's words
+        rows = base.withColumn("found", F.concat(head, *windows)).select("doc_id", "key", "n_words", F.inline_outer("found").alias("start", "window"))
+        rows = rows.withColumn("hash", F.xxhash64("window")).withColumn("size", F.size("window"))
         own = F.broadcast(own.select(F.col("hash").alias("_hash"), "gram", "items"))
-        joined = rows.join(own, (F.col("hash") == F.col("_hash")) & (F.col("start") >= 0) & (F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")) == F.col("gram")), "left")
+        joined = rows.join(own, (F.col("hash") == F.col("_hash")) & (F.col("start") >= 0) & (F.col("window") == F.col("gram")), "left")
         keep = F.col("_hash").isNotNull() | (F.col("start") < 0) if block == 0 else F.col("_hash").isNotNull()
         parts.append(joined.where(keep).select("doc_id", "key", "n_words", "start", "size", "items"))
     hits = reduce(DataFrame.unionAll, parts)
@@ -104,7 +135,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark),
 grams AS (SELECT DISTINCT item, len(g) AS size, g FROM (SELECT item, unnest(list_transform(range(1, len(w) - least(len(w), {WINDOW}) + 2), lambda i: w[i : i + least(len(w), {WINDOW}) - 1])) AS g FROM b WHERE len(w) > 0)),
 starts AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, (SELECT DISTINCT size FROM grams) WHERE len(w) >= size),
 hits AS (SELECT r, s, x.size, item FROM (SELECT r, s, size, w[s : s + size - 1] AS g FROM starts) x JOIN grams ON x.g = grams.g),
