@@ -327,11 +327,30 @@ _ACCUMULATORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _ranked(op: str, value: Column, rank: str) -> Column:
+    """$first, $last and $push by the rank of rows in their group."""
+    if op == "$push":
+        return F.transform(F.array_sort(F.collect_list(F.struct(F.col(rank), value.alias("v")))), lambda x: x["v"])
+    return (F.min_by if op == "$first" else F.max_by)(value, F.col(rank))
+
+
 @dataclass(frozen=True)
 class Group(Stage):
+    """order: what a sort right before it says, which then holds for $first, $last and $push; without one they take rows as they come."""
+
     spec: Mapping[str, Any]
+    order: Any = None
+
+    @property
+    def by_order(self) -> bool:
+        return any(k != "_id" and set(v) & {"$first", "$last", "$push"} for k, v in self.spec.items())
 
     def grouped(self, df: DataFrame, by: list[str]) -> DataFrame:
+        rank = None
+        if self.order is not None and self.by_order:
+            (rank,) = unused(df, "_rank")
+            keys = [*by, compile_expression(self.spec["_id"], Scope(df.schema))]
+            df = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*Sort(self.order).order(df.schema))))
         scope = Scope(df.schema)
         key = compile_expression(self.spec["_id"], scope)
         outs = []
@@ -341,6 +360,8 @@ class Group(Stage):
             (op, argument), = acc.items()
             if op == "$count":
                 outs.append(F.count(F.lit(1)).alias(name))
+            elif rank is not None and op in ("$first", "$last", "$push"):
+                outs.append(_ranked(op, compile_expression(argument, scope), rank).alias(name))
             elif op in _ACCUMULATORS:
                 outs.append(_ACCUMULATORS[op](compile_expression(argument, scope)).alias(name))
             else:
@@ -450,6 +471,10 @@ def optimized(stages: list[Stage]) -> list[Stage]:
                 out += [replace(stage, mode="count"), numbers]
                 i += 2
                 continue
+        if isinstance(stage, Sort) and isinstance(follower, Group) and follower.by_order:
+            out.append(replace(follower, order=stage.spec))
+            i += 2
+            continue
         out.append(stage)
         i += 1
     return out

@@ -525,6 +525,13 @@ def page_pipeline_inner_limit(spark, sf_dir):
     return page.rows.select("_id", "segment")
 
 
+@query("SELECT o_custkey AS _id, arg_max(o_orderkey, o_totalprice) AS dearest, arg_min(o_orderkey, o_totalprice) AS cheapest, list(o_totalprice ORDER BY o_totalprice DESC)[1] AS price FROM orders GROUP BY 1")
+def stage_group_first_last(spark, sf_dir):
+    """$first, $last and $push after a sort follow it."""
+    rows = collection(spark, sf_dir, "orders").aggregate([{"$sort": {"o_totalprice": -1}}, {"$group": {"_id": "$o_custkey", "dearest": {"$first": "$o_orderkey"}, "cheapest": {"$last": "$o_orderkey"}, "prices": {"$push": "$o_totalprice"}}}])
+    return rows.select("_id", "dearest", "cheapest", F.col("prices")[0].alias("price"))
+
+
 @query("SELECT o_orderkey AS _id, 1 AS more, 0 AS cut_short FROM orders WHERE o_orderkey > 7 ORDER BY 1 LIMIT 5")
 def page_peek_after_wins(spark, sf_dir):
     """One row more is looked for; after wins where both anchors are given."""

@@ -22,7 +22,7 @@ from docloom.operators.updates import MISSING, REMOVE, partial, sanitize, split_
 from docloom.plans.stages import TYPE
 from docloom.queries import PEOPLE, collection, people, query, read, shared_folder
 from docloom.runtime import OperationQueue
-from docloom.schema import array, difference, flat, indexes, integer, number, obj, optional, string, walk
+from docloom.schema import array, difference, flat, indexes, integer, number, obj, optional, string, visit, walk
 from docloom.sources.store import Store, WriteConflictError, with_retry
 from docloom.streaming.changes import Watcher, change_counts, change_log
 
@@ -385,6 +385,15 @@ def schema_walk(spark, sf_dir):
     return told(spark, "path string, kind string", [(p, type(n).__name__) for p, n in walk(obj(a=string(), b=array(obj(c=number()))))])
 
 
+@query("SELECT * FROM (VALUES ('', 0), ('a', 1), ('a.$pipe[0]', 2), ('m', 1), ('m.$key', 2), ('m.$value', 2), ('u', 1), ('u.$union[0]', 2), ('u.$union[1]', 2)) AS t(path, depth)")
+def schema_visit(spark, sf_dir):
+    from docloom.schema import record, union
+
+    seen: list[tuple[str, int]] = []
+    visit(obj(a=string(min_length=2), m=record(number(), "^k"), u=union(string(), number())), lambda node, place: seen.append((".".join(place.path), place.depth)))
+    return told(spark, "path string, depth int", seen)
+
+
 @query("SELECT '{\"a\": 1, \"c\": {\"e\": [1]}}' AS removed, '{\"a\": null, \"b\": [null]}' AS nulled, '{\"$set\": {\"b.c\": 1}, \"$unset\": {\"a\": \"\", \"b.d\": \"\"}}' AS split, 'x' AS nested, 'p_1_a_b' AS safe")
 def document_helpers(spark, sf_dir):
     row = (

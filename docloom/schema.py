@@ -380,6 +380,44 @@ def walk(node: Node, path: str = "") -> Iterator[tuple[str, Node]]:
         yield from walk(child, f"{path}.{name}" if path else name)
 
 
+@dataclass(frozen=True)
+class Place:
+    """Where a visitor is: the path from the root as a tuple, how deep, the node above, and the last part of the path."""
+
+    path: tuple[str, ...] = ()
+    depth: int = 0
+    parent: Node | None = None
+    key: str | None = None
+
+
+def visit(node: Node, see: Callable[[Node | tuple[str, Any], Place], bool | None], place: Place | None = None) -> None:
+    """Calls see(node, place) for every node of a schema, a parent before its children; False leaves its children out.
+
+    Beside fields, `$[]` (items) and `$value`, paths have `$key` (the key pattern of an open map), `$union[i]` (an alternative) and
+    `$pipe[i]` (a constraint of the node, seen as its name and value).
+    """
+    place = place or Place()
+    if see(node, place) is False:
+        return
+
+    def below(key: str, child: Node | tuple[str, Any], through: bool = True) -> None:
+        at = Place((*place.path, key), place.depth + 1, node, key)
+        if isinstance(child, Node) and through:
+            visit(child, see, at)
+        else:
+            see(child, at)
+
+    for i, (name, value) in enumerate(node.checks):
+        below(f"$pipe[{i}]", (name, value))
+    if isinstance(node, Wrapped):
+        for i, (name, value) in enumerate(node.inner.checks):
+            below(f"$pipe[{len(node.checks) + i}]", (name, value))
+    if isinstance(node, MapOf) and node.key_pattern is not None:
+        below("$key", string(pattern=node.key_pattern), through=False)
+    for name, child in node.children():
+        below(name, child)
+
+
 def indexes(node: Node) -> dict[str, Index]:
     """Dotted path -> index, the walker's own tokens left out."""
     out = {}
