@@ -5,6 +5,9 @@ The posterior of a document's language is the product of
 - the likelihood of the language that its markup declares, from how often texts of each language declare it,
 - a prior of its host, smoothed to that of its address suffix, and this to that of the corpus.
 Counts for the last two come from grouped aggregation over all documents of the languages that their texts alone suggest.
+
+Where the declared language also labels the training rows, the models are two, each fitted on one half of the rows by a hash of
+the id, and a document is judged by the model that its own half took no part in.
 """
 
 from __future__ import annotations
@@ -17,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import checkpoint, fresh, read_table, text_batches
+from docloom.llm.common import checkpoint, fresh, lean, read_table, text_batches
 
 #: Bound on the labelled rows of each language that the text model is fitted on.
 TRAIN_ROWS = 2_000
+#: The most frequent labels that are languages; rows with others are not trained on.
+MAX_LANGUAGES = 200
 CODES = 1 << 16
 TEMPER = 0.05
 SMOOTH = 20.0
@@ -29,7 +34,7 @@ MAX_BROADCAST_ROWS = 500_000
 
 
 class TextModel(NamedTuple):
-    """Log-probabilities of trigram codes by language (rows)."""
+    """Log-probabilities by half of the rows judged (1 or 2 of them), language and trigram code."""
 
     languages: list[str]
     table: np.ndarray
@@ -53,52 +58,70 @@ def primary_subtag(tag: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(F.coalesce(tag, F.lit("")))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
 
 
-def train_text_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> TextModel:
-    """Trigram models of the labels (primary subtags) of labelled, from about `rows` rows of each at most, chosen by a hash of the id."""
-    spark = labelled.sparkSession
-    tagged = labelled.select(F.col(id_col).alias("id"), primary_subtag(F.col(label_col)).alias("label"), F.col(text_col).alias("text")).where("label <> '' and text is not null")
-    sizes = {r.label: r.n for r in tagged.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most 26^2 + 26^3 labels
+def half_of(id: Column) -> Column:
+    """0 or 1 for a row's id."""
+    return F.pmod(F.xxhash64(id, F.lit("half")), F.lit(2)).cast("int")
+
+
+def train_text_model(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS, halves: bool = False) -> TextModel:
+    """Trigram models of the labels (primary subtags) of labelled, from about `rows` rows of each at most, chosen by a hash of the id.
+
+    With halves, the model at place h of the table is fitted on the rows whose half is not h.
+    """
+    tagged = labelled.select(F.col(id_col).alias("id"), half_of(F.col(id_col)).alias("half"), primary_subtag(F.col(label_col)).alias("label"), F.col(text_col).alias("text")).where("label <> '' and text is not null")
+    sizes = {r.label: r.n for r in tagged.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()}
     if not sizes:
-        return TextModel(["und"], np.full((1, CODES), -np.log(CODES), np.float32))
+        return TextModel(["und"], np.full((1, 1, CODES), -np.log(CODES), np.float32))
     share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, rows / n)))), F.col("label"))
-    sample = tagged.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("label", "text")
+    sample = tagged.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("label", "half", "text")
+    languages = sorted(sizes)
+    number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        totals: dict[tuple[int, str], np.ndarray] = {}
+        for batch in text_batches(batches, 2):
+            for label, half, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 codes = trigram_codes(text)
-                if label not in totals:
-                    totals[label] = np.zeros(CODES, np.int64)
-                np.add.at(totals[label], codes, 1)
-        for label, total in totals.items():
+                if (half, label) not in totals:
+                    totals[half, label] = np.zeros(CODES, np.int64)
+                np.add.at(totals[half, label], codes, 1)
+        for (half, label), total in totals.items():
             code = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(code), pa.string()), pa.array(code), pa.array(total[code])], names=["label", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), half, np.int32)), pa.array([label] * len(code), pa.string()), pa.array(code), pa.array(total[code])], names=["half", "label", "code", "n"])
+
+    counts = sample.mapInArrow(lean("language_id", count), "half int, label string, code long, n long").groupBy("half", "label", "code").agg(F.sum("n").alias("n"))
+    own = np.zeros((2, len(languages), CODES))
+    for r in counts.toLocalIterator():  # at most CODES rows for each half of a language
+        own[r.half, number[r.label], r.code] += r.n
+    table = (own[::-1] if halves else own.sum(0, keepdims=True)) + 0.5
+    return TextModel(languages, np.log(table / table.sum(2, keepdims=True)).astype(np.float32))
 
-    counts = sample.mapInArrow(count, "label string, code long, n long").groupBy("label", "code").agg(F.sum("n").alias("n"))
-    languages = sorted(sizes)
-    table = np.full((len(languages), CODES), 0.5)
-    number = {x: i for i, x in enumerate(languages)}
-    for r in counts.toLocalIterator():  # at most CODES rows for each language
-        table[number[r.label], r.code] += r.n
-    return TextModel(languages, np.log(table / table.sum(1, keepdims=True)).astype(np.float32))
 
+def log_likelihood(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The tempered log-likelihood of a text's codes by language; memory is bounded by the table, whatever the text."""
+    if len(codes) > CODES // 4:
+        counts = np.bincount(codes, minlength=CODES)
+        at = np.flatnonzero(counts)
+        return (table[:, at] * counts[at]).sum(1, dtype=np.float64) * TEMPER
+    return table[:, codes].sum(1, dtype=np.float64) * TEMPER
 
-def text_scores(docs: DataFrame, model: TextModel, columns: dict[str, Column], text_col: str = "text") -> DataFrame:
+
+def text_scores(docs: DataFrame, model: TextModel, columns: dict[str, Column], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The columns named, text_ll array<double> (tempered log-likelihood by language) and n_trigrams, for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.table)  # CODES numbers for each language
-    rows = docs.select(F.col(text_col).alias("_text"), *(c.alias(k) for k, c in columns.items()))
-    kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes[1:])
+    shared = docs.sparkSession.sparkContext.broadcast(model.table)  # CODES numbers for each half of a language
+    half = half_of(F.col(id_col)) if len(model.table) == 2 else F.lit(0)
+    rows = docs.select(F.col(text_col).alias("_text"), half.alias("_half"), *(c.alias(k) for k, c in columns.items()))
+    kinds = ", ".join(f"{k} {t}" for k, t in rows.dtypes[2:])
     names = [*columns, "text_ll", "n_trigrams"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in text_batches(batches, 0):
             codes = [trigram_codes(t) for t in batch.column(0).to_pylist()]
-            scores = [(table[:, c].sum(1, dtype=np.float64) * TEMPER).tolist() for c in codes]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.list_(pa.float64())), pa.array([len(c) for c in codes], pa.int64())], names=names)
+            scores = [log_likelihood(table[h], c).tolist() for h, c in zip(batch.column(1).to_pylist(), codes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(scores, pa.list_(pa.float64())), pa.array([len(c) for c in codes], pa.int64())], names=names)
 
-    return rows.mapInArrow(run, f"{kinds}, text_ll array<double>, n_trigrams long")
+    return rows.mapInArrow(lean("language_id", run), f"{kinds}, text_ll array<double>, n_trigrams long")
 
 
 def _argmax(scores: Column) -> Column:
@@ -123,7 +146,7 @@ def identify(docs: DataFrame, model: TextModel, declared: Column | None = None,
     n = len(model.languages)
     blank = F.lit("")
     columns = {"doc_id": F.col(id_col).cast("long"), "key": F.xxhash64(F.col(text_col)), "declared": primary_subtag(declared if declared is not None else blank), "suffix": F.coalesce(suffix, blank) if suffix is not None else blank, "host": F.coalesce(host, blank) if host is not None else blank}
-    scored = checkpoint(text_scores(docs, model, columns, text_col).withColumn("guess", _argmax(F.col("text_ll"))))
+    scored = checkpoint(text_scores(docs, model, columns, text_col, id_col).withColumn("guess", _argmax(F.col("text_ll"))))
     known = scored.where("n_trigrams > 0")
     by_declared = {(r.guess, r.declared): r.n for r in known.groupBy("guess", "declared").agg(F.count("*").alias("n")).collect()}  # languages x subtags
     tags = sorted({d for _, d in by_declared})
@@ -169,8 +192,18 @@ def keep_accepted(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", tex
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """The documents table: `lang` is what is declared, and labels the training rows; `source` is the host."""
-    return identify(docs, train_text_model(docs), declared=F.col("lang"), host=F.col("source"))
+    """The documents table: `lang` is what is declared, and labels the training rows of the other half; `source` is the host."""
+    return identify(docs, train_text_model(docs, halves=True), declared=F.col("lang"), host=F.col("source"))
+
+
+def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
+    """page_id, language, confidence, text_language, accepted, declared, host of web pages: text without tags, scripts and styles, by models
+    fitted on labelled(doc_id, text, lang), with the evidence of markup, address suffix and host."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>|&#?[a-zA-Z0-9]+;", " ")
+    read = page_evidence(pages.select("page_id", "url", "html")).withColumn("text", bare)
+    found = identify(read, train_text_model(labelled), F.col("declared"), F.col("suffix"), F.col("host"), "page_id")
+    names = read.select(F.col("page_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "declared", "host").dropDuplicates(["doc_id", "key"])
+    return found.join(names, found.doc_id.eqNullSafe(names.doc_id) & (found.key == names.key)).select(found.doc_id.alias("page_id"), "language", "confidence", "text_language", "accepted", "declared", "host")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,5 +212,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "language", "confidence", "text_language", F.col("accepted").alias("kept"))
 
 
-QUERIES = {"op8_language_id": op8_language_id}
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's language, by its text, markup, address suffix and host."""
+    return identify_pages(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_language_id": op8_language_id, "language_of_pages": language_of_pages}
 ORACLE_SQL: dict[str, str] = {}
