@@ -13,7 +13,6 @@ import os
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.byte_bpe import WORDS, Vocabulary, pieces_of, vocabulary
-from docloom.llm.common import PIECE_CHARS, read_table, text_batches
+from docloom.llm.common import PIECE_CHARS, cached, lean, read_table, text_batches
 
 LEXICON_WORDS = 65_536
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 DEAD = -1
 
 
@@ -127,7 +126,9 @@ class Codec:
         self.vocab = vocabulary(payload)
         self.lexicon = Lexicon.mapped(image)
         self.codes: dict[str, bytes] = {}
-        self.pieces = [self.vocab.pieces.get(i, b"") for i in range(max(self.vocab.pieces) + 1)]
+        pieces = [self.vocab.pieces.get(i, b"") for i in range(max(self.vocab.pieces) + 1)]
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.starts, self.letters = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(pieces), np.uint8)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.codes]
@@ -148,16 +149,21 @@ class Codec:
                 out += map(self.codes.__getitem__, words)
         return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
-        return b"".join([self.pieces[i] for i in ids if 0 <= i < len(self.pieces)]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[ids] - ends + sizes, sizes)
+        return self.letters[at].tobytes().decode("utf-8", "replace")
 
     def forget(self) -> None:
         if len(self.codes) > CACHED_WORDS:
             self.codes.clear()
 
 
-@lru_cache(maxsize=2)
+@cached("bpe", size=2)
 def codec(payload: bytes, image: bytes) -> Codec:
     return Codec(payload, image)
 
@@ -178,7 +184,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
                 counts = Counter()
         yield out(counts)
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(lean("bpe", count), "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
@@ -206,11 +212,11 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, image: bytes, id_col: str =
             ids = pa.array(np.concatenate(codes) if codes else np.zeros(0, np.int32))
             columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)]
             if decode:
-                columns.append(pa.array([own.decode(c.tolist()) for c in codes], pa.string()))
+                columns.append(pa.array([own.decode(c) for c in codes], pa.string()))
             own.forget()
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean("bpe", run), "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def bpe_decode(codes: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -225,7 +231,7 @@ def bpe_decode(codes: DataFrame, tokenizer_path: str, id_col: str = "doc_id", id
             texts = [own.decode([i for i in ids or [] if i is not None]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return codes.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return codes.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(lean("bpe", run), "doc_id long, text string")
 
 
 #: A lexicon without words.

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import regex
 import tiktoken
 
+from docloom.llm.common import cached
+
 #: Fixed value: the pattern by which byte-level BPE of this family cuts text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,7 +69,7 @@ class Vocabulary:
         return ids == sorted(ids) and all(self.slow_merge(k) == [v] for k, v in self.ids.items())
 
 
-@lru_cache(maxsize=2)
+@cached("bpe", "token_counts", size=2)
 def vocabulary(payload: bytes) -> Vocabulary:
     return Vocabulary(payload)
 
