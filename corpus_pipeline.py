@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe_codec import bpe_encode, build_lexicon
-from docloom.llm.common import checkpoint, read_table
+from docloom.llm.common import checkpoint, fresh, read_table
 from docloom.llm.decontamination import decontaminate
 from docloom.llm.language_id import identify_documents, keep_accepted
 from docloom.llm.near_dedup import near_duplicates
@@ -26,17 +26,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id; of rows that share a doc_id, one."""
-    found = checkpoint(near_duplicates(docs).select("doc_id", "kept"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = checkpoint(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group of near duplicates: that of the smallest doc_id; of rows that share it, and of equal rows, one."""
+    doc, key, cluster, place = fresh(docs, "_doc", "_key", "_cluster", "_place")
+    found = checkpoint(near_duplicates(docs).select(F.col("doc_id").alias(doc), F.col("key").alias(key), F.col("cluster").alias(cluster), "kept"))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    gone = found.where(~F.col("kept")).select(doc, key).distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone, same, "left_anti")
+    again = found.where(F.col("kept") & F.col(doc).isNotNull()).groupBy(doc, F.coalesce(cluster, key).alias(cluster)).agg(F.count("*").alias("n"), F.min(key).alias(key)).where("n > 1")
+    again = checkpoint(again.select(doc, cluster, key))
     if again.isEmpty():
         return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_row", first).where("_row = 1").select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionAll(repeated)
+    rows = found.where("kept").select(doc, key, F.coalesce(cluster, key).alias(cluster)).distinct().join(again.select(doc, cluster), [doc, cluster], "left_semi")
+    firsts = again.select(doc, key)
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*(c for c, t in docs.dtypes if not t.startswith("map")))
+    one = kept.join(firsts, same, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*docs.columns)
+    return kept.join(rows.select(doc, key), same, "left_anti").unionAll(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +49,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; n_chars follows the text."""
-    replaced = replace_entities(docs, count_col="_n_entities")
-    n_chars = F.when(F.col("_n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return replaced.withColumn("n_chars", n_chars).select(*docs.columns)
+    """Documents with surrogates for personal data; n_chars, where there is one, follows the text."""
+    (n,) = fresh(docs, "_n_entities")
+    replaced = replace_entities(docs, count_col=n)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col(n) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        replaced = replaced.withColumn("n_chars", n_chars)
+    return replaced.select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
