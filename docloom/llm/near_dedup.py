@@ -1,34 +1,44 @@
 """MinHash near-dedup with an LSH forest.
 
-A document's set holds its distinct shingles of five words. Documents with equal sets are one node. Each
-of TREES sorted orders arranges the nodes by a MinHash value of its own; nodes with a common value are a
-region. A region of more than REGION_NODES isn't cut by longer prefixes, which would lose pairs: it is
-compared in blocks, each pair of blocks in a group of its own. In a region, a sketch of all values tells
-which nodes may be linked (LENIENT, far below the threshold), and what hangs together this way is compared
-by full sets. Two sets of similarity s lie in no common region with probability (1 - s)^TREES, whatever the
-size of the regions: 6e-8 at s = 0.75. A region of n nodes beyond REGION_NODES costs in proportion to n².
+A document's set holds its distinct shingles of five words. Documents with equal sets are one node. A tree sorts
+the nodes by their signature in an order of its places that is the tree's own; neighbours whose longest common prefix has
+a depth or more are a run of the sorted order, a region. In a region, the agreement of whole signatures tells which
+nodes may be linked (LENIENT, far below the threshold), and what hangs together this way is compared by full sets, once where all regions
+together make a group of at most REGION_NODES nodes.
+
+Regions begin at depth 2. One of more than REGION_NODES nodes is mostly a cluster of near copies, or text that many share. Its nodes are
+first compared in parts, each together with the region's first node. What then doesn't belong to the region's largest component is
+compared with all of the region in pairs of blocks, if it is little; else all nodes of the region go on to the next depth of LEVELS, in
+more trees than before, so that a pair at the threshold is lost with a probability below 2e-6 at any depth (`miss`). At the last
+depth the rest is compared whatever its size. The cost is in proportion to the nodes except where a region of the last depth
+holds many components, and no pair of a region is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import groupby
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LOWER, UPPER, checkpoint, read_table, text_batches
+from docloom.llm.common import LOWER, UPPER, checkpoint, lean, read_table, text_batches
 from docloom.llm.components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
-TREES = 12
 VALUES = 128
-REGION_NODES = 4096
-MAX_BROADCAST_ROWS = 500_000
+#: (depth, trees): the depths that regions are cut at, and how many trees share the work at each.
+LEVELS = [(2, 20), (4, 56), (6, 160)]
+REGION_NODES = 1024
+#: Shingles of a group that one task compares; heavier groups are compared in pairs of blocks.
+GROUP_SHINGLES = 2_000_000
+MAX_BROADCAST_ROWS = 250_000
 LENIENT = 0.5
 #: Multiplier of the rolling hash of a shingle's words.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +60,19 @@ def _salts() -> tuple[np.ndarray, np.ndarray]:
 FLIP, TIMES = _salts()
 
 
+def _orders() -> np.ndarray:
+    """By tree, the places of the signature that its order looks at first; the two at the front are a tree's own as long as there are places."""
+    out = []
+    for tree in range(max(t for _, t in LEVELS)):
+        front = [2 * tree, 2 * tree + 1] if 2 * tree < VALUES else []
+        rest = np.argsort(_mix(np.arange(tree * VALUES, (tree + 1) * VALUES, dtype=np.uint64) * BASE)).tolist()
+        out.append([*front, *(p for p in rest if p not in front)][: max(d for d, _ in LEVELS)])
+    return np.array(out)
+
+
+ORDERS = _orders()
+
+
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the text's shingles: A-Z in lower case, words between ASCII white space; with fewer words, one of them all."""
     words = text.encode().translate(_LOWER).split() if text else []
@@ -66,13 +89,29 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
-    """VALUES MinHash values as int32."""
+    """VALUES MinHash values, of each the 16 bits below the upper 32: the uppermost of a minimum are nearly always zero."""
     least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), 4096):
         x = (hashes[i : i + 4096, None] ^ FLIP) * TIMES
         x ^= x >> np.uint64(31)
         np.minimum(least, x.min(0), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return ((least >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16)
+
+
+def prefixes(signatures: np.ndarray, depth: int, trees: int) -> np.ndarray:
+    """A number for the first `depth` values of each signature (row) in the order of each tree (column)."""
+    tree = _mix(np.arange(1, trees + 1, dtype=np.uint64) * BASE + np.uint64(depth))
+    out = np.repeat(tree[None], len(signatures), 0)
+    for k in range(depth):
+        out = (out + signatures[:, ORDERS[:trees, k]] + np.uint64(1)) * BASE
+        out ^= out >> np.uint64(32)
+    return _mix(out).view(np.int64)
+
+
+def miss(s: float, depth: int, trees: int) -> float:
+    """The probability that two sets of similarity s share no prefix in any tree: trees draw from the same places, of which a random number agree."""
+    agree = (comb(VALUES, k) * s**k * (1 - s) ** (VALUES - k) for k in range(VALUES + 1))
+    return sum(p * (1 - comb(k, depth) / comb(VALUES, depth)) ** trees for k, p in enumerate(agree))
 
 
 def labels_of(linked: np.ndarray) -> np.ndarray:
@@ -112,7 +151,7 @@ def linked_exactly(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
         number = np.cumsum(count > 1) - 1
         row, column = row[shared], number[column[shared]]
         both, width = np.zeros((n, n), np.int64), int((count > 1).sum())
-        step = max(1, 16_000_000 // n)
+        step = max(1, 4_000_000 // n)
         for at in range(0, width, step):  # dense columns, a bounded number at a time
             own = (column >= at) & (column < at + step)
             dense = np.zeros((n, min(step, width - at)), np.float32)
@@ -123,76 +162,166 @@ def linked_exactly(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), values (MinHash, one for each order), sketch (the low byte of all values) for each row of docs."""
+    """doc_id, key (a hash of the text), n_shingles, digest (of the set), sketch (the signature's bytes) for each row of docs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            signatures = np.stack([signature(s) for s in sets])
-            values, sketches = np.ascontiguousarray(signatures[:, :TREES]).ravel(), signatures.view(np.uint32).astype(np.uint8)
-            ends = np.arange(0, len(values) + 1, TREES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)), pa.array([x.tobytes() for x in sketches], pa.binary())], names=["doc_id", "n_shingles", "digest", "values", "sketch"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, values array<int>, sketch binary")
-
-
-def forest_regions(nodes: DataFrame, region_nodes: int = REGION_NODES) -> DataFrame:
-    """node, region: the regions of two nodes or more of all trees, the large ones as pairs of blocks; nodes(node, values)."""
-    rows = nodes.select("node", F.posexplode("values").alias("tree", "value"))
-    keyed = rows.select("node", F.xxhash64("tree", "value").alias("region"))
-    sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    out = keyed.join(sizes.where(F.col("n") <= region_nodes).select("region"), "region").select("node", "region")
-    large = checkpoint(sizes.where(F.col("n") > region_nodes))
-    if large.isEmpty():
-        return out
-    few = F.broadcast(large) if large.count() <= MAX_BROADCAST_ROWS else large
-    return out.unionByName(_block_pairs(keyed.join(few, "region"), region_nodes))
-
-
-def _block_pairs(members: DataFrame, region_nodes: int) -> DataFrame:
-    """Regions of more nodes, cut into blocks of about half of region_nodes; each pair of different blocks is a region."""
-    blocks = F.ceil(F.col("n") / (region_nodes // 2)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = members.select("node", "region", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).where("own <> other")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "n_shingles", "digest", "sketch"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
+    return texts.mapInArrow(lean("near_dedup", run), "doc_id long, key long, n_shingles long, digest binary, sketch binary")
+
+
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+
+
+def _prefixed(nodes: DataFrame, depth: int, trees: int) -> DataFrame:
+    """node, region: the prefix that a node has in each tree."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                own = batch.slice(at, 1024)
+                regions = prefixes(_matrix(own.column(1)), depth, trees).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own.column(0).to_numpy(), trees)), pa.array(regions)], names=["node", "region"])
+
+    return nodes.select("node", "sketch").mapInArrow(lean("near_dedup", run), "node long, region long")
+
+
+def _if_few(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast where it has MAX_BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def _blocks(size: Column, limit: int) -> Column:
+    """How many blocks of about half of the limit."""
+    return F.greatest(F.ceil(size / max(1, limit // 2)), F.lit(1)).cast("long")
+
+
+def _own(blocks: Column) -> Column:
+    """The block of a node, from 0."""
+    return F.pmod(F.xxhash64("node"), blocks)
+
+
+def _upto(blocks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+
+
+def _parts(beyond: DataFrame, region_nodes: int) -> DataFrame:
+    """node, region: each node's largest region, cut into parts; the region's first node is in all of them."""
+    mine = beyond.groupBy("node").agg(F.max(F.struct("n", "region")).alias("m")).select("node", "m.region", "m.n")
+    blocks = _blocks(F.col("n"), region_nodes)
+    parts = mine.select("node", F.xxhash64("region", _own(blocks)).alias("region"))
+    firsts = mine.groupBy("region", "n").agg(F.min("node").alias("node")).select("node", "region", _upto(blocks).alias("i"))
+    return parts.unionAll(firsts.select("node", F.xxhash64("region", "i").alias("region"))).distinct()
+
+
+def _block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
+    """node, region: a region for each pair of different blocks of a region's nodes."""
+    spread = members.select("node", "region", _own(blocks).alias("own"), _upto(blocks).alias("other")).where("own <> other")
     return spread.select("node", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"))
 
 
+def _rest_with_all(mixed: DataFrame, region_nodes: int) -> DataFrame:
+    """node, region: blocks of a region's rest with blocks of its main component, and with each other; mixed(node, region, main, n, rest)."""
+    own = mixed.select("node", "region", "main", _blocks(F.col("n") - F.col("rest"), region_nodes).alias("mb"), _blocks(F.col("rest"), region_nodes).alias("rb"))
+    main = own.where("main").select("node", "region", _own(F.col("mb")).alias("j"), _upto(F.col("rb")).alias("i"))
+    rest = own.where("not main").withColumn("i", _own(F.col("rb")))
+    across = main.select("node", "region", "i", "j").unionAll(rest.select("node", "region", "i", _upto(F.col("mb")).alias("j")))
+    among = rest.select("node", "region", "i", "rb", _upto(F.col("rb")).alias("j")).where("i <> j or rb = 1")
+    return across.select("node", F.xxhash64("region", "i", "j").alias("region")).unionAll(among.select("node", F.xxhash64("region", F.lit("rest"), F.least("i", "j"), F.greatest("i", "j")).alias("region")))
+
+
+def _mixed(beyond: DataFrame, components: DataFrame) -> DataFrame:
+    """node, region, n, main, rest: the regions of beyond that hold more than one component, which nodes belong to the largest, and how many don't."""
+    placed = beyond.join(components, "node", "left").select("node", "region", "n", F.coalesce("component", "node").alias("component"))
+    counts = placed.groupBy("region", "n", "component").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("region", "n").agg(F.max(F.struct("c", "component")).alias("m"))
+    several = checkpoint(largest.select("region", F.col("m.component").alias("largest"), (F.col("n") - F.col("m.c")).alias("rest")).where("rest > 0"))
+    return placed.join(_if_few(several), "region").select("node", "region", "n", (F.col("component") == F.col("largest")).alias("main"), "rest")
+
+
+def _low_bytes(nodes: DataFrame) -> DataFrame:
+    """nodes with the low byte of each value of their signature for a sketch: enough to tell how many agree."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = _matrix(batch.column(1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in low], pa.binary()), batch.column(2)], names=["node", "sketch", "n_shingles"])
+
+    return nodes.select("node", "sketch", "n_shingles").mapInArrow(lean("near_dedup", run), "node long, sketch binary, n_shingles long")
+
+
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Rows by their first column; they come sorted by it. A node stands once in a group."""
-    stream = (row for batch in batches for row in zip(*(c.to_pylist() if not pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for c in batch.columns), strict=True))
+    stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     for key, rows in groupby(stream, key=lambda r: r[0]):
         yield key, list({r[1]: r for r in rows}.values())
 
 
-def candidates(regions: DataFrame, nodes: DataFrame, lenient: float = LENIENT) -> DataFrame:
-    """node, region: what hangs together by the nodes' sketches in each region; equal groups of different trees are one."""
+def candidates(regions: DataFrame, nodes: DataFrame, components: DataFrame | None = None, lenient: float = LENIENT) -> DataFrame:
+    """node, region, weight (the node's shingles): what hangs together by signatures in each region; equal groups of different trees are one.
+
+    nodes(node, sketch, n_shingles) have signatures; groups within one of components(node, component) are left out.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, region = [], []
+        node, region, weight, n = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (node, region, weight)], names=["node", "region", "weight"])
+
         for _, rows in _groups(batches):
             rows.sort(key=lambda r: r[1])
             label = labels_of(_similar(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), lenient))
-            ids = np.array([r[1] for r in rows], np.int64)
+            ids, sizes, component = (np.array([r[k] for r in rows], np.int64) for k in (1, 3, 4))
             for i in np.flatnonzero(np.bincount(label, minlength=len(label)) > 1):
-                own = ids[label == i]
-                node.append(own)
-                region.append(np.full(len(own), np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))).view(np.int64))
-            if len(node) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(region))], names=["node", "region"])
-                node, region = [], []
+                at = label == i
+                if (component[at] != component[i]).any():
+                    own = ids[at]
+                    node.append(own)
+                    region.append(np.full(len(own), np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))).view(np.int64))
+                    weight.append(sizes[at])
+                    n += len(own)
+            if n > 50_000:
+                yield out()
+                node, region, weight, n = [], [], [], 0
         if node:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node)), pa.array(np.concatenate(region))], names=["node", "region"])
+            yield out()
+
+    low = _low_bytes(nodes)
+    low = low.withColumn("component", F.col("node")) if components is None else low.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = low.join(regions, "node").select("region", "node", "sketch", "n_shingles", "component")
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(lean("near_dedup", run), "node long, region long, weight long").distinct()
+
 
-    rows = regions.join(nodes.select("node", "sketch"), "node").select("region", "node", "sketch")
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "node long, region long").distinct()
+def merged(groups: DataFrame, group_nodes: int = REGION_NODES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """groups, where those that share nodes are one as long as they are within the limits together: most nodes' sets then go to one place."""
+    firsts = groups.groupBy("region").agg(F.min("node").alias("a"))
+    whole = connected_components(groups.join(firsts, "region").select("a", F.col("node").alias("b")))
+    nodes = groups.select("node", "weight").distinct().join(whole, "node")
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    light = checkpoint(nodes.join(sizes.where((F.col("n") <= group_nodes) & (F.col("w") <= group_shingles)).select("component"), "component", "left_semi"))
+    heavy = groups.join(light.select("node"), "node", "left_anti")
+    return heavy.select("node", "region", "weight").unionAll(light.select("node", F.xxhash64("component", F.lit("merged")).alias("region"), "weight"))
 
 
-def confirmed_links(groups: DataFrame, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: links that join all of a group's nodes whose full sets are linked, directly or by others of the group."""
+def confirmed_links(groups: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """a, b: links that join all of a group's nodes whose full sets are linked, directly or by others of the group.
+
+    groups(node, region, weight) is of candidates; firsts(node, first, digest) says where a node's text is. Groups above group_shingles are compared in pairs of blocks.
+    """
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+        for batch in text_batches(batches, 2):
+            sets = [(n, s.tobytes()) for n, d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if _digest(s := shingles(t)) == d]  # rows may share a doc_id
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.binary())], names=["node", "shingles"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
@@ -202,34 +331,87 @@ def confirmed_links(groups: DataFrame, docs: DataFrame, percent: int = PERCENT,
             if len(far):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    sets = texts.join(groups.select("node").distinct(), "node", "left_semi").mapInArrow(to_sets, "node long, shingles binary")
-    rows = groups.join(sets, "node").select("region", "node", "shingles")
-    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    sizes = groups.groupBy("region").agg(F.sum("weight").alias("w")).where(F.col("w") > group_shingles)
+    heavy = checkpoint(sizes)
+    if not heavy.isEmpty():
+        few = _if_few(heavy)
+        groups = groups.join(few, "region", "left_anti").select("node", "region").unionAll(_block_pairs(groups.join(few, "region"), _blocks(F.col("w"), group_shingles)))
+    wanted = checkpoint(firsts.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first", "digest"))
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text"))
+    sets = texts.join(_if_few(wanted), "first").select("node", "digest", "text").mapInArrow(lean("near_dedup", to_sets), "node long, shingles binary")
+    rows = sets.join(_if_few(checkpoint(groups)), "node").select("region", "node", "shingles")
+    return rows.repartition("region").sortWithinPartitions("region").mapInArrow(lean("near_dedup", run), "a long, b long")
+
+
+def _components(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int, region_nodes: int, id_col: str, text_col: str) -> DataFrame:
+    """node, component of the nodes that are linked: the forest, depth by depth."""
+    links: DataFrame | None = None
+    components: DataFrame | None = None
+    left, waiting = nodes, None  # nodes that go on, and regions that wait for the next comparison
+
+    def compare(regions: DataFrame, few: bool = False) -> None:
+        nonlocal links, components
+        regions = _if_few(checkpoint(regions)) if few else regions
+        groups = checkpoint(candidates(regions, nodes, components))
+        if groups.isEmpty() and components is not None:
+            return
+        found = confirmed_links(checkpoint(merged(groups, region_nodes)), firsts, docs, percent, id_col, text_col)
+        links = checkpoint(found if links is None else links.unionAll(found))
+        components = connected_components(links)
+
+    for depth, trees in LEVELS:
+        keyed = _prefixed(left, depth, trees)
+        sizes = checkpoint(keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"))
+        large = checkpoint(sizes.where(F.col("n") > region_nodes))
+        some = not large.isEmpty()
+        few = _if_few(large)
+        rest = keyed.join(few, "region", "left_anti") if some else keyed  # so that the rows of a hot region don't meet in one task
+        regions = rest.join(sizes.where(F.col("n") <= region_nodes).select("region"), "region", "left_semi").select("node", "region")
+        regions = regions if waiting is None else regions.unionAll(waiting)
+        if not some:
+            compare(regions)
+            return components
+        beyond = checkpoint(keyed.join(few, "region").select("node", "region", "n"))
+        compare(_parts(beyond, region_nodes), few=True)  # first, so that what one cluster holds isn't compared again
+        compare(regions)
+        mixed = checkpoint(_mixed(beyond, components))
+        now = F.lit(True) if depth == LEVELS[-1][0] else F.col("rest") <= region_nodes // 2
+        waiting = _rest_with_all(mixed.where(now), region_nodes)
+        left = checkpoint(nodes.join(_if_few(checkpoint(mixed.where(~now).select("node").distinct())), "node", "left_semi"))
+        if left.isEmpty():
+            break
+    compare(waiting, few=True)
+    return components
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, region_nodes: int = REGION_NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reached by links), kept (doc_id = component_id) for each row of docs.
+    """doc_id, n_shingles, component_id (the smallest doc_id reached by links), kept (doc_id = component_id), key (a hash of the text) and cluster (a number for each component) for each row of docs.
 
-    Texts without words have no shingles and no links. Rows repeat as they do in docs; a null doc_id is a
-    component of its own with component_id null and kept true. Other columns are not read.
+    Texts without words have no shingles, no links and no cluster. Rows repeat as they do in docs; rows that share a doc_id and differ in
+    their sets are linked each for itself. A null doc_id is a component of its own with component_id and cluster null and kept true. Other columns are not read.
     """
     base = checkpoint(fingerprints(docs, id_col, text_col))
     filled = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    firsts = checkpoint(filled.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = checkpoint(filled.select(F.col("doc_id").alias("node"), "values", "sketch").join(firsts.select("node"), "node", "left_semi"))
-    groups = checkpoint(candidates(forest_regions(nodes, region_nodes), nodes))
-    links = confirmed_links(groups, docs, percent, id_col, text_col)
-    components = connected_components(links)
-    of_digest = firsts.join(components, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    joined = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(of_digest, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # numbers that the checkpoint fixes: a recomputed task can't change them
+    firsts = checkpoint(filled.groupBy("digest").agg(F.min("doc_id").alias("first")).select("digest", "first", F.monotonically_increasing_id().alias("node")))
+    owners = filled.withColumnRenamed("doc_id", "first").join(firsts, ["digest", "first"])
+    nodes = checkpoint(owners.select("node", "sketch", "n_shingles"))
+    if nodes.count() > firsts.count():  # rows that repeat whole
+        nodes = checkpoint(nodes.dropDuplicates(["node"]))
+    components = _components(nodes, firsts, docs, percent, region_nodes, id_col, text_col)
+    ends = components.join(firsts.select("node", "first"), "node")
+    least = ends.groupBy("component").agg(F.min("first").alias("least"))
+    placed = firsts.join(ends.select("node", "component").join(least, "component"), "node", "left")
+    of_digest = placed.select("digest", F.coalesce("component", "node").alias("cluster"), F.coalesce("least", "first").alias("least"))
+    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")
+    joined = base.select("doc_id", "key", "n_shingles", linked).join(of_digest, "digest", "left")
+    component = F.coalesce("least", "doc_id")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "key", "cluster")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_duplicates(read_table(spark, sf_dir, "documents"))
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLE = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
