@@ -48,6 +48,21 @@ def test_stages(spark):
         assert r.ids == library.encode(texts[r.doc_id].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids)
 
 
+def test_clashing_columns_repeated_ids_and_long_texts(spark):
+    """Columns with names used inside stay; distinct texts of one id stay; equal rows and near copies go."""
+    words = [f"w{i}" for i in range(300)]
+    near = " ".join([*words[:-1], "other"])
+    texts = [(1, " ".join(words)), (1, " ".join(words)), (1, " ".join(f"v{i}" for i in range(90))), (2, near), (3, "long " + " ".join(f"k{i % 977}x{i // 977}" for i in range(60_000))), (None, "no id at all")]
+    names = ["_row", "_n_entities", "_doc", "_key", "key", "kept", "cluster", "_cluster"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[f"{n}!" for n in names]) for i, t in texts], ", ".join(["doc_id long", "text string", "lang string", "source string", "n_chars long", *(f"{n} string" for n in names)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).checkpoint()
+        assert docs.columns[5:] == names and all(r[n] == f"{n}!" for r in docs.select(*names).collect() for n in names)
+        if name == "near_dedup":
+            got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+            assert got == sorted([texts[0], texts[2], texts[4], texts[5]], key=repr)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
