@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text that a Python worker holds as words at a time.
 PIECE_CHARS = 1_000_000
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Caches of Python workers, and the operators that use each.
 _CACHES: dict[Callable, tuple[str, ...]] = {}
 
@@ -41,10 +44,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(place or tempfile.mkdtemp(prefix="docloom-"))
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is planned in here leaves no shuffle files once it has run; otherwise they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there: lost executors cost no recomputation."""
+    """Write df to the shared checkpoint folder and read it from there: lost executors cost no recomputation, and the shuffle files behind it go."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with passing_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, so that df itself keeps its shuffle files
+
+
+def on_driver(df: DataFrame, most: int) -> pa.Table | None:
+    """The rows of a checkpointed table, or None where it has more than `most`."""
+    with passing_shuffles(df.sparkSession):
+        return df.select("*").toArrow() if df.count() <= most else None
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -8,17 +8,20 @@ together make a group of at most REGION_NODES nodes.
 
 Regions begin at depth 2. One of more than REGION_NODES nodes is mostly a cluster of near copies, or text that many share. Its nodes are
 first compared in parts, each together with the region's first node. What then doesn't belong to the region's largest component is
-compared with all of the region in pairs of blocks, if it is little; else all nodes of the region go on to the next depth of LEVELS, in
+compared with all of the region in pairs of blocks, if that makes few rows (ROWS_WITH_ALL); else all nodes of the region go on to the next depth of LEVELS, in
 more trees than before, so that a pair at the threshold is lost with a probability below 2e-6 at any depth (`miss`). At the last
 depth the rest is compared whatever its size. The cost is in proportion to the nodes except where a region of the last depth
 holds many components, and no pair of a region is lost.
+
+A cluster stands in a region of nearly every tree. Nodes that are in one component already aren't compared again, and groups that share
+nodes are merged before full sets are fetched. Tables of few rows (groups, components) are worked on by the driver; larger ones stay tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import combinations, groupby
 from math import comb
 
 import numpy as np
@@ -27,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import LOWER, UPPER, checkpoint, lean, read_table, text_batches
-from docloom.llm.components import connected_components
+from docloom.llm.common import LOWER, UPPER, checkpoint, lean, on_driver, read_table, text_batches
+from docloom.llm.components import components_of, connected_components
 
 SHINGLE = 5
 PERCENT = 75
@@ -36,6 +39,8 @@ VALUES = 128
 #: (depth, trees): the depths that regions are cut at, and how many trees share the work at each.
 LEVELS = [(2, 20), (4, 56), (6, 160)]
 REGION_NODES = 1024
+#: Rows for each node of a region in pairs of blocks, up to which they are taken instead of the next depth, whose trees make more.
+ROWS_WITH_ALL = 4
 #: Shingles of a group that one task compares; heavier groups are compared in pairs of blocks.
 GROUP_SHINGLES = 2_000_000
 MAX_BROADCAST_ROWS = 250_000
@@ -199,6 +204,12 @@ def _if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
+def _few_of(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A checkpointed table, held by the driver and to be broadcast where it has MAX_BROADCAST_ROWS rows at most; whether it has any."""
+    table = on_driver(df, MAX_BROADCAST_ROWS)
+    return (df, True) if table is None else (F.broadcast(df.sparkSession.createDataFrame(table)) if table.num_rows else df, table.num_rows > 0)
+
+
 def _blocks(size: Column, limit: int) -> Column:
     """How many blocks of about half of the limit."""
     return F.greatest(F.ceil(size / max(1, limit // 2)), F.lit(1)).cast("long")
@@ -228,6 +239,12 @@ def _block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
     return spread.select("node", F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"))
 
 
+def _rows_with_all(region_nodes: int) -> Column:
+    """How many rows _rest_with_all makes of a region."""
+    main, rest = F.col("n") - F.col("rest"), F.col("rest")
+    return main * _blocks(rest, region_nodes) + rest * (_blocks(main, region_nodes) + _blocks(rest, region_nodes))
+
+
 def _rest_with_all(mixed: DataFrame, region_nodes: int) -> DataFrame:
     """node, region: blocks of a region's rest with blocks of its main component, and with each other; mixed(node, region, main, n, rest)."""
     own = mixed.select("node", "region", "main", _blocks(F.col("n") - F.col("rest"), region_nodes).alias("mb"), _blocks(F.col("rest"), region_nodes).alias("rb"))
@@ -268,7 +285,7 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 def candidates(regions: DataFrame, nodes: DataFrame, components: DataFrame | None = None, lenient: float = LENIENT) -> DataFrame:
     """node, region, weight (the node's shingles): what hangs together by signatures in each region; equal groups of different trees are one.
 
-    nodes(node, sketch, n_shingles) have signatures; groups within one of components(node, component) are left out.
+    nodes(node, sketch, n_shingles) have signatures; likeness within one of components(node, component) doesn't count, as it is known.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,16 +296,17 @@ def candidates(regions: DataFrame, nodes: DataFrame, components: DataFrame | Non
 
         for _, rows in _groups(batches):
             rows.sort(key=lambda r: r[1])
-            label = labels_of(_similar(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), lenient))
             ids, sizes, component = (np.array([r[k] for r in rows], np.int64) for k in (1, 3, 4))
+            if (component == component[0]).all():
+                continue
+            similar = _similar(np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1), lenient)
+            label = labels_of(similar & (component[:, None] != component[None]))
             for i in np.flatnonzero(np.bincount(label, minlength=len(label)) > 1):
-                at = label == i
-                if (component[at] != component[i]).any():
-                    own = ids[at]
-                    node.append(own)
-                    region.append(np.full(len(own), np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))).view(np.int64))
-                    weight.append(sizes[at])
-                    n += len(own)
+                own = ids[at := label == i]
+                node.append(own)
+                region.append(np.full(len(own), np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))).view(np.int64))
+                weight.append(sizes[at])
+                n += len(own)
             if n > 50_000:
                 yield out()
                 node, region, weight, n = [], [], [], 0
@@ -301,21 +319,56 @@ def candidates(regions: DataFrame, nodes: DataFrame, components: DataFrame | Non
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(lean("near_dedup", run), "node long, region long, weight long").distinct()
 
 
+def _merged_here(node: np.ndarray, region: np.ndarray, weight: np.ndarray, group_nodes: int, group_shingles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """merged() of a few rows, on the driver."""
+    names, group = np.unique(region, return_inverse=True)
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, group, node)
+    nodes, roots = components_of(least[group], node)
+    _, at, row = np.unique(node, return_index=True, return_inverse=True)
+    weights, whole = weight[at], np.unique(roots, return_inverse=True)[1]
+    n, w, r = np.bincount(whole), np.bincount(whole, weights).astype(np.int64), np.bincount(whole[row])
+    blocks = np.maximum(-(-n // max(1, group_nodes // 2)), -(-w // max(1, group_shingles // 2)))
+    blocks[(n <= group_nodes) & (w <= group_shingles)] = 1
+    blocks[(blocks > 1) & (n * (blocks - 1) >= r)] = 0
+    raw, one = blocks[whole[row]] == 0, blocks[whole] == 1
+    out = [(node[raw], region[raw], weight[raw]), (nodes[one], _mix(roots[one].astype(np.uint64) * BASE + np.uint64(1)).view(np.int64), weights[one])]
+    order, ends = np.argsort(whole, kind="stable"), np.cumsum(n)
+    for k in np.flatnonzero(blocks > 1):
+        own = order[ends[k] - n[k] : ends[k]]
+        share = np.cumsum(weights[own] if w[k] * group_nodes > n[k] * group_shingles else np.ones(n[k], np.int64))
+        block = np.minimum(share * blocks[k] // share[-1], blocks[k] - 1)
+        for i, j in combinations(range(blocks[k]), 2):
+            pair = own[(block == i) | (block == j)]
+            name = np.uint64(xxhash.xxh3_64_intdigest(f"{roots[own[0]]} {i} {j}"))
+            out.append((nodes[pair], np.full(len(pair), name).view(np.int64), weights[pair]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
 def merged(groups: DataFrame, group_nodes: int = REGION_NODES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """groups, where those that share nodes are one as long as they are within the limits together: most nodes' sets then go to one place."""
+    """groups, where those that share nodes are one as long as they are within the limits together: most nodes' sets then go to one place.
+
+    What is beyond the limits is cut into pairs of blocks, or left as it is where that makes fewer rows (a chain of many groups).
+    """
     firsts = groups.groupBy("region").agg(F.min("node").alias("a"))
     whole = connected_components(groups.join(firsts, "region").select("a", F.col("node").alias("b")))
-    nodes = groups.select("node", "weight").distinct().join(whole, "node")
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
-    light = checkpoint(nodes.join(sizes.where((F.col("n") <= group_nodes) & (F.col("w") <= group_shingles)).select("component"), "component", "left_semi"))
-    heavy = groups.join(light.select("node"), "node", "left_anti")
-    return heavy.select("node", "region", "weight").unionAll(light.select("node", F.xxhash64("component", F.lit("merged")).alias("region"), "weight"))
-
-
-def confirmed_links(groups: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    placed = checkpoint(groups.join(whole, "node").select("node", "region", "weight", "component"))
+    nodes = placed.groupBy("component", "node").agg(F.max("weight").alias("weight"), F.count("*").alias("r"))
+    sizes = nodes.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum("r").alias("r"))
+    cut = F.greatest(_blocks(F.col("n"), group_nodes), _blocks(F.col("w"), group_shingles))
+    blocks = F.when((F.col("n") <= group_nodes) & (F.col("w") <= group_shingles), 1).when(F.col("n") * (cut - 1) < F.col("r"), cut).otherwise(0)
+    blocks = _if_few(checkpoint(sizes.select("component", blocks.cast("long").alias("blocks"))))
+    raw = placed.join(blocks.where("blocks = 0"), "component", "left_semi").select("node", "region", "weight")
+    spread = nodes.join(blocks.where("blocks > 0"), "component").select("component", "node", "weight", "blocks", _own(F.col("blocks")).alias("own"), _upto(F.col("blocks")).alias("other"))
+    pairs = spread.where("blocks = 1 or own <> other")
+    return raw.unionAll(pairs.select("node", F.xxhash64("component", F.lit("merged"), F.least("own", "other"), F.greatest("own", "other")).alias("region"), "weight"))
+
+
+def confirmed_links(groups: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", group_shingles: int = GROUP_SHINGLES, light: bool = False) -> DataFrame:
     """a, b: links that join all of a group's nodes whose full sets are linked, directly or by others of the group.
 
-    groups(node, region, weight) is of candidates; firsts(node, first, digest) says where a node's text is. Groups above group_shingles are compared in pairs of blocks.
+    groups(node, region, weight) is of candidates; firsts(node, first, digest) says where a node's text is. Groups above group_shingles are compared in pairs of blocks;
+    light: there are none, and groups are few rows that the driver holds.
     """
 
     def to_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,55 +384,65 @@ def confirmed_links(groups: DataFrame, firsts: DataFrame, docs: DataFrame, perce
             if len(far):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["a", "b"])
 
-    sizes = groups.groupBy("region").agg(F.sum("weight").alias("w")).where(F.col("w") > group_shingles)
-    heavy = checkpoint(sizes)
-    if not heavy.isEmpty():
-        few = _if_few(heavy)
-        groups = groups.join(few, "region", "left_anti").select("node", "region").unionAll(_block_pairs(groups.join(few, "region"), _blocks(F.col("w"), group_shingles)))
-    wanted = checkpoint(firsts.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first", "digest"))
+    if light:
+        groups = F.broadcast(groups)
+        wanted = F.broadcast(firsts.join(groups, "node", "left_semi").select("node", "first", "digest"))
+    else:
+        heavy = checkpoint(groups.groupBy("region").agg(F.sum("weight").alias("w")).where(F.col("w") > group_shingles))
+        if not heavy.isEmpty():
+            few = _if_few(heavy)
+            groups = groups.join(few, "region", "left_anti").select("node", "region").unionAll(_block_pairs(groups.join(few, "region"), _blocks(F.col("w"), group_shingles)))
+        groups = _if_few(checkpoint(groups))
+        wanted = _if_few(checkpoint(firsts.join(groups.select("node").distinct(), "node", "left_semi").select("node", "first", "digest")))
     texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text"))
-    sets = texts.join(_if_few(wanted), "first").select("node", "digest", "text").mapInArrow(lean("near_dedup", to_sets), "node long, shingles binary")
-    rows = sets.join(_if_few(checkpoint(groups)), "node").select("region", "node", "shingles")
+    sets = texts.join(wanted, "first").select("node", "digest", "text").mapInArrow(lean("near_dedup", to_sets), "node long, shingles binary")
+    rows = sets.join(groups, "node").select("region", "node", "shingles")
     return rows.repartition("region").sortWithinPartitions("region").mapInArrow(lean("near_dedup", run), "a long, b long")
 
 
 def _components(nodes: DataFrame, firsts: DataFrame, docs: DataFrame, percent: int, region_nodes: int, id_col: str, text_col: str) -> DataFrame:
     """node, component of the nodes that are linked: the forest, depth by depth."""
-    links: DataFrame | None = None
     components: DataFrame | None = None
     left, waiting = nodes, None  # nodes that go on, and regions that wait for the next comparison
 
     def compare(regions: DataFrame, few: bool = False) -> None:
-        nonlocal links, components
+        nonlocal components
         regions = _if_few(checkpoint(regions)) if few else regions
         groups = checkpoint(candidates(regions, nodes, components))
-        if groups.isEmpty() and components is not None:
+        table = on_driver(groups, MAX_BROADCAST_ROWS)
+        if table is not None and not table.num_rows:
+            components = nodes.select("node", F.col("node").alias("component")).where("false") if components is None else components
             return
-        found = confirmed_links(checkpoint(merged(groups, region_nodes)), firsts, docs, percent, id_col, text_col)
-        links = checkpoint(found if links is None else links.unionAll(found))
-        components = connected_components(links)
-
-    for depth, trees in LEVELS:
+        if table is None:
+            groups, light = checkpoint(merged(groups, region_nodes)), False
+        else:
+            node, region, weight = _merged_here(*(table[c].to_numpy() for c in ("node", "region", "weight")), region_nodes, GROUP_SHINGLES)
+            groups = nodes.sparkSession.createDataFrame(pa.table({"node": node, "region": region, "weight": weight}))
+            light = len(node) <= MAX_BROADCAST_ROWS and np.bincount(np.unique(region, return_inverse=True)[1], weight).max() <= 1.1 * GROUP_SHINGLES
+        found = confirmed_links(groups, firsts, docs, percent, id_col, text_col, light=light)
+        stars = None if components is None else components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        components = connected_components(found if stars is None else found.unionAll(stars))
+
+    for i, (depth, trees) in enumerate(LEVELS):
         keyed = _prefixed(left, depth, trees)
         sizes = checkpoint(keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"))
-        large = checkpoint(sizes.where(F.col("n") > region_nodes))
-        some = not large.isEmpty()
-        few = _if_few(large)
-        rest = keyed.join(few, "region", "left_anti") if some else keyed  # so that the rows of a hot region don't meet in one task
+        large, some = _few_of(sizes.where(F.col("n") > region_nodes))
+        rest = keyed.join(large, "region", "left_anti") if some else keyed  # so that the rows of a hot region don't meet in one task
         regions = rest.join(sizes.where(F.col("n") <= region_nodes).select("region"), "region", "left_semi").select("node", "region")
         regions = regions if waiting is None else regions.unionAll(waiting)
         if not some:
             compare(regions)
             return components
-        beyond = checkpoint(keyed.join(few, "region").select("node", "region", "n"))
+        beyond = checkpoint(keyed.join(large, "region").select("node", "region", "n"))
         compare(_parts(beyond, region_nodes), few=True)  # first, so that what one cluster holds isn't compared again
         compare(regions)
         mixed = checkpoint(_mixed(beyond, components))
-        now = F.lit(True) if depth == LEVELS[-1][0] else F.col("rest") <= region_nodes // 2
+        now = F.lit(True) if i + 1 == len(LEVELS) else _rows_with_all(region_nodes) <= ROWS_WITH_ALL * F.col("n")
         waiting = _rest_with_all(mixed.where(now), region_nodes)
-        left = checkpoint(nodes.join(_if_few(checkpoint(mixed.where(~now).select("node").distinct())), "node", "left_semi"))
-        if left.isEmpty():
+        deeper, some = _few_of(checkpoint(mixed.where(~now).select("node").distinct()))
+        if not some:
             break
+        left = checkpoint(nodes.join(deeper, "node", "left_semi"))
     compare(waiting, few=True)
     return components
 
@@ -392,14 +455,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, region_nodes: int =
     """
     base = checkpoint(fingerprints(docs, id_col, text_col))
     filled = base.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    sets = filled.groupBy("digest").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     # numbers that the checkpoint fixes: a recomputed task can't change them
-    firsts = checkpoint(filled.groupBy("digest").agg(F.min("doc_id").alias("first")).select("digest", "first", F.monotonically_increasing_id().alias("node")))
-    owners = filled.withColumnRenamed("doc_id", "first").join(firsts, ["digest", "first"])
-    nodes = checkpoint(owners.select("node", "sketch", "n_shingles"))
-    if nodes.count() > firsts.count():  # rows that repeat whole
-        nodes = checkpoint(nodes.dropDuplicates(["node"]))
+    sets = checkpoint(sets.withColumn("node", F.monotonically_increasing_id()))
+    firsts, nodes = sets.select("digest", "first", "node"), sets.select("node", "sketch", "n_shingles")
     components = _components(nodes, firsts, docs, percent, region_nodes, id_col, text_col)
-    ends = components.join(firsts.select("node", "first"), "node")
+    ends = firsts.select("node", "first").join(components, "node")
     least = ends.groupBy("component").agg(F.min("first").alias("least"))
     placed = firsts.join(ends.select("node", "component").join(least, "component"), "node", "left")
     of_digest = placed.select("digest", F.coalesce("component", "node").alias("cluster"), F.coalesce("least", "first").alias("least"))

@@ -1,20 +1,24 @@
 """Each operator against a plain version on a small table with all the awkward cases, and on empty tables."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from docloom.llm import language_id, licenses, near_dedup, pii, substring_dedup
+from docloom.llm import components, language_id, licenses, near_dedup, pii, substring_dedup
 from docloom.llm.bpe_codec import EMPTY_IMAGE, Codec, Lexicon, bpe_decode, bpe_encode, build_lexicon, compile_lexicon, digests
 from docloom.llm.byte_bpe import vocabulary
+from docloom.llm.common import checkpoint
 from docloom.llm.components import connected_components
 from docloom.llm.decontamination import contamination, decontaminate
 from docloom.llm.language_id import identify, identify_documents, keep_accepted, page_evidence, train_text_model
@@ -292,6 +296,52 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_many_components_as_few(spark, monkeypatch):
+    """Tables take the same way as the driver."""
+    edges = [(i, max(1, i * 31 % 10 + i - 9)) for i in range(1, 300) if i % 7] + [(5, 5), (900, 950), (950, 1)]
+    few = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    many = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert few == many and few[950] == few[900] == 1
+
+
+@pytest.mark.parametrize("region_nodes", [6, 1024])
+def test_near_dedup_of_many_rows_as_few(spark, docs, monkeypatch, region_nodes):
+    """Beyond what the driver takes, everything stays in tables, with the same result."""
+    monkeypatch.setattr(components, "FEW_EDGES", 0)
+    monkeypatch.setattr(near_dedup, "MAX_BROADCAST_ROWS", 0)
+    assert rows(near_duplicates(docs, region_nodes=region_nodes), "doc_id", "n_shingles", "component_id", "kept") == linked(ROWS)
+
+
+def test_overlapping_groups_are_merged(spark):
+    """Groups of one large cluster become pairs of blocks, which hold each pair of nodes and far fewer rows; a chain of groups stays as it is."""
+    cluster = {(i, tuple(sorted(random.Random(i).sample(range(24), 12)))) for i in range(60)}
+    chain = {(100 + i, tuple(range(1000 + 4 * i, 1008 + 4 * i))) for i in range(40)}
+    given = [(n, g, 10) for g, nodes in sorted(cluster | chain) for n in nodes] + [(n, 99, 10) for n in (50, 51)]
+    node, region, weight = (np.array(x, np.int64) for x in zip(*given, strict=True))
+    of_tables = near_dedup.merged(spark.createDataFrame(given, "node long, region long, weight long"), 10, 1_000_000).collect()
+    for got in (of_tables, list(zip(*near_dedup._merged_here(node, region, weight, 10, 1_000_000), strict=True))):
+        groups = {}
+        for n, g, w in got:
+            groups.setdefault(int(g), set()).add(int(n))
+            assert w == 10
+        assert all(any({x, y} <= g for g in groups.values()) for _, nodes in cluster | chain for x in nodes for y in nodes)
+        assert {50, 51} in groups.values() and sum(len(g) for g in groups.values()) < 60 * 12 // 4 + 40 * 8 + 3
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    """A checkpoint holds its rows; the shuffle files behind it go at once, not when the driver collects its garbage."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = files()
+    got = checkpoint(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count())
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before
+    assert got.count() == 10 and got.agg(F.sum("count")).first()[0] == 1000
+
+
 # --- 4
 
 BENCHMARK = [(1, PASSAGE), (2, "one two"), (3, None), (4, ""), (5, " ".join(BASE.split()[20:60])), (11, "one two")]
